@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bestfit_pack, ef_tokens, hilbert_shard, lang_rank, quality_gbt, secret_scan, topk_search
+from strandloom.llm import bestfit_pack, decontaminate, ef_tokens, hilbert_shard, jaccard_join, lang_rank, quality_gbt, secret_scan, topk_search
 from strandloom.llm._bpe import vocabulary
 
 
@@ -27,6 +27,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ef_tokens.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
 
@@ -61,8 +69,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_gbt": op1,
+        "op3_benchmark_alignment": op3,
         "op4_bestfit_packing": op4,
         "op5_elias_fano_tokens": op5,
+        "op6_bayes_jaccard": op6,
         "op7_norm_bucket_topk": op7,
         "op8_secret_token_efficiency": op8,
         "op9_rank_order_language": op9,
