@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bestfit_pack, decontaminate, ef_tokens, hilbert_shard, jaccard_join, lang_rank, quality_gbt, secret_scan, topk_search
+from strandloom.llm import bestfit_pack, decontaminate, ef_tokens, hilbert_shard, html_layout, jaccard_join, lang_rank, quality_gbt, secret_scan, topk_search
 from strandloom.llm._bpe import vocabulary
 
 
@@ -19,6 +19,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_pack.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -69,6 +73,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_gbt": op1,
+        "op2_html_layout": op2,
         "op3_benchmark_alignment": op3,
         "op4_bestfit_packing": op4,
         "op5_elias_fano_tokens": op5,
