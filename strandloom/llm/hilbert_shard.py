@@ -7,9 +7,9 @@ spans a small box of the metadata and readers can skip files on any of them.
 Defined cases: a null text has size 1 (no bytes plus 1) and crc32 of the empty text;
 null metadata fall in cell 0; equal rows may swap places; an empty table gives an
 empty result; extra columns are ignored; a shard may stay empty when there are fewer
-rows than shards. Equal texts lie side by side within a cell of the curve and stay in
-one shard unless their group is larger than both the largest row and a fiftieth of a
-shard, when it is cut between rows.
+rows than shards. Equal texts take the cell of their group (the least lang and source
+among them), lie side by side there, and stay in one shard unless the group is larger
+than both the largest row and a twentieth of a shard, when it is cut between rows.
 """
 
 from __future__ import annotations
@@ -68,16 +68,15 @@ def quantised(column: Column, kind: str, bits: int) -> Column:
     return F.coalesce(F.least(F.greatest(q.cast("long"), F.lit(0)), F.lit(top)), F.lit(0)).cast("long")
 
 
-def shard_by_curve(rows: DataFrame, dims: list[Column], bits: int, id_column: str, size: Column, group: Column, shards: int, carry: list[Column]) -> DataFrame:
-    """``rows`` as (id, size, *carry, shard, slot) with near equal sums of ``size`` in each shard.
+def shard_by_curve(rows: DataFrame, dims: list[Column], bits: int, id_column: str, shards: int) -> DataFrame:
+    """``rows`` (id, size, _group, ...) with shard and slot; near equal sums of ``size`` in each shard.
 
-    group: rows of equal value lie together within a cell. Rows are range partitioned
+    Rows of equal _group have equal ``dims`` and lie together. Rows are range partitioned
     by (cell, group, hash of the id), of which no value is hot, so a large group
     spreads over tasks; running sums come from one small row for each partition.
     """
     spark = rows.sparkSession
-    keyed = rows.select(F.col(id_column), size.cast("long").alias("size"), *carry, hilbert_index(dims, bits).alias("_cell"), group.alias("_group"))
-    keyed = keyed.withColumn("_tie", F.xxhash64(F.col(id_column), F.lit(7)))
+    keyed = rows.withColumn("_cell", hilbert_index(dims, bits)).withColumn("_tie", F.xxhash64(F.col(id_column), F.lit(7)))
     held = written(keyed, "shard-keys")
     n = held.count()
     parts = max(1, -(-n // ROWS_PER_RANGE), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 1000))
@@ -92,7 +91,7 @@ def shard_by_curve(rows: DataFrame, dims: list[Column], bits: int, id_column: st
     ranges = written(ranges.select("*", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_b0"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_r0")), "shard-sums")
     total = ranges.agg(F.sum("_bytes"), F.max("_largest")).first()
     all_bytes, largest = (total[0] or 1), (total[1] or 1)
-    most = max(largest, all_bytes // (50 * shards))
+    most = max(largest, all_bytes // (20 * shards))
 
     placed = ranged.join(F.broadcast(ranges.select("_part", "_b0", "_r0")), "_part")
     placed = placed.select(
@@ -118,9 +117,13 @@ def shard_by_curve(rows: DataFrame, dims: list[Column], bits: int, id_column: st
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, bits: int = 5) -> DataFrame:
-    """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard, and the boxes' columns."""
+    """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.octet_length(text).cast("long") + 1
-    dims = [quantised(F.col("lang"), "text", bits), quantised(size, "log", bits), quantised(F.col("source"), "hash", bits)]
-    out = shard_by_curve(docs.select("doc_id", "text", "lang", "source"), dims, bits, "doc_id", size, F.xxhash64(text), shards, [F.crc32(text).alias("text_crc32"), "lang", "source"])
+    size = (F.octet_length(text).cast("long") + 1).alias("size")
+    rows = written(docs.select("doc_id", size, F.crc32(text).alias("text_crc32"), "lang", "source", F.xxhash64(text).alias("_group")), "shard-input")
+    groups = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.min("lang").alias("_lang"), F.min("source").alias("_source")).where("_n > 1").drop("_n")
+    # written, so that the join's two sides are plain exchanges and a large group can be split
+    rows = rows.join(written(groups, "shard-groups"), "_group", "left").withColumn("lang", F.coalesce("_lang", "lang")).withColumn("source", F.coalesce("_source", "source"))
+    dims = [quantised(F.col("lang"), "text", bits), quantised(F.col("size"), "log", bits), quantised(F.col("source"), "hash", bits)]
+    out = shard_by_curve(rows.drop("_lang", "_source"), dims, bits, "doc_id", shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

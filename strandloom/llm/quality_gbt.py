@@ -109,7 +109,7 @@ class Trees:
         self.depth = 0
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.12, least: int = 8, l2: float = 1.0, bins: int = BINS) -> Trees:
+    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: float = 0.12, least: int = 5, l2: float = 1.0, bins: int = BINS) -> Trees:
         n, width = x.shape
         mean = float(y.mean()) if n else 0.5
         if mean in (0.0, 1.0) or n < 2 * least:

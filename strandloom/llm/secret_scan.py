@@ -32,12 +32,12 @@ _BASE = [(kind, re.compile(p, f), g, least) for kind, p, f, g, least in BASE]
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _DIGITS = re.compile(r"[0-9]+")
 _HEX_RUN = re.compile(r"[0-9a-f]{24,}")
-_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _RUN_LEAST = 16
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
-_NAMED = re.compile(r"[A-Za-z]*[a-z]{3,}[0-9]{0,4}([_/.=+-]+([A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[_/.=+-]*")
+_NAMED = re.compile(r"[A-Za-z]*[a-z]{3,}[0-9]{0,4}([_/.+-]+([A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[_/.+-]*")
 CHARS_PER_TOKEN = 2.0
 
 
@@ -97,6 +97,11 @@ def runs(text: str) -> list[tuple[int, int]]:
             s -= 1
         while e < len(text) and text[e] in _LETTERS:
             e += 1
+        pad = e
+        while pad < min(len(text), e + 2) and text[pad] == "=":
+            pad += 1
+        if pad == len(text) or text[pad] not in _LETTERS:
+            e = pad  # the padding of base 64
         end = e
         if e - s >= _RUN_LEAST and text[e : e + 1] != "@":
             out.append((s, e))
