@@ -45,14 +45,14 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     alphabet of these texts, so codes have the order of their letters everywhere.
     """
     low = [t.lower() if t else "" for t in texts]
-    points = np.frombuffer("\n".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer("".join(f"\n{t}\n" for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _is_letter()[points]
     points = np.where(letter, points, _EDGE)
-    # every text starts after a boundary; runs of non-letters become one mark
-    sizes = np.fromiter((len(t) + 1 for t in low), np.int64, len(low))
-    owner = np.concatenate((np.repeat(np.arange(len(low)), sizes), [max(0, len(low) - 1)])) if len(low) else np.zeros(len(points), np.int64)
+    # every text starts and ends with a boundary; runs of non-letters become one mark
+    sizes = np.fromiter((len(t) + 2 for t in low), np.int64, len(low))
+    owner = np.repeat(np.arange(len(low)), sizes)
     first = np.zeros(len(points), bool)
-    first[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = True
+    first[np.cumsum(sizes) - sizes] = True
     keep = letter | first
     keep[1:] |= letter[:-1]
     points, owner = points[keep], owner[keep]
