@@ -2,8 +2,9 @@
 
 FASTA is read by splitting on the header mark, so records may span any number of lines.
 FASTQ is a strict four-line grammar whose quality lines may begin like headers, so its
-records are found by line number: lines get their place in the file from their
-partition's running count, which needs one counting pass and no shuffle.
+records are found by line number: a line's place in the file is its place in its
+partition and the lines of earlier partitions, which needs one counting pass; only the
+four lines of a FASTQ record then meet in a shuffle.
 Gzipped files (also of several members) are read by the Hadoop codec.
 """
 
@@ -40,7 +41,7 @@ def read_fasta(spark: SparkSession, path: str, file_idx: int = 0) -> DataFrame:
     """Records of a FASTA file in file order; blank lines and trailing white space go."""
     raw = spark.read.option("lineSep", "\n>").text(path)
     body = F.regexp_replace(F.regexp_replace("value", "^\\s*>", ""), "\r", "")
-    split = raw.select(numbered("line"), body.alias("body")).where(F.trim("body") != "")
+    split = raw.select(body.alias("body")).where(F.trim("body") != "").select(numbered("line"), "body")
     header = F.regexp_replace(F.substring_index("body", "\n", 1), r"\s+$", "")
     seq = F.regexp_replace(F.expr("substring(body, length(substring_index(body, '\n', 1)) + 1)"), r"\s+", "")
     records = split.select("line", F.concat(F.lit(">"), header).alias("header"), seq.alias("seq"))
@@ -48,7 +49,7 @@ def read_fasta(spark: SparkSession, path: str, file_idx: int = 0) -> DataFrame:
 
 
 def numbered(name: str):
-    """A number that rises along a file: partition, then row."""
+    """Partition (from bit 33 on) and place in it: rises along a file."""
     return F.monotonically_increasing_id().alias(name)
 
 
@@ -61,18 +62,11 @@ def _ranked(records: DataFrame) -> DataFrame:
     for p in sorted(counts):
         offsets.append((p, base))
         base += counts[p]
+    place = F.col("line").bitwiseAND((1 << 33) - 1)
     if len(offsets) <= 1:
-        first = 0
-        return _place(rows, F.lit(first))
+        return rows.withColumn("read_num", place).drop("_part")
     known = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part long, _base long"))
-    return _place(rows.join(known, "_part"), F.col("_base"))
-
-
-def _place(rows: DataFrame, base) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("_part").orderBy("line")
-    return rows.withColumn("read_num", (F.row_number().over(order) - 1 + base).cast("long")).drop("_part")
+    return rows.join(known, "_part").withColumn("read_num", place + F.col("_base")).drop("_part", "_base")
 
 
 def read_fastq(spark: SparkSession, path: str, file_idx: int = 0) -> DataFrame:
