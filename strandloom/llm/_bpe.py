@@ -26,7 +26,7 @@ _TWO_SPACES = rf"[{_SPACE}] |^ "
 _PIECES = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Pieces with characters from here on are left to the library as they are.
 _LATIN_END = chr(0x250)
-_CACHE_MOST = 700_000
+_CACHE_MOST = 350_000
 
 
 def _byte_letters() -> dict[int, str]:

@@ -2,55 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from strandloom.tables import shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if own:
-        return own.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    made = tempfile.mkdtemp(prefix="strandloom-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
-
-    This cuts the lineage, makes plans that hold a sampled range partitioning
-    repeatable, and survives lost executors. The folder goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended: the cluster cleans its shared folder
-            return
-
-
-atexit.register(_clean)
+__all__ = ["fold", "raw", "shared_dir", "slices", "texts_of", "written"]
 
 
 def fold(doc_id: Column | str, n: int) -> Column:
@@ -58,7 +19,7 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices whose ``column`` holds about ``max_bytes`` bytes at most (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -71,6 +32,16 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iter
         to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back, as workers live on between tasks of different stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

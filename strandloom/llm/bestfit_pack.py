@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary, end_id)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 ids, at = own.encode(part.column("text"))
                 sizes = np.diff(at)
                 counts = -(-sizes // capacity)

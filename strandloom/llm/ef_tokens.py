@@ -151,7 +151,7 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int, segment_tokens
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "documents", "tokens", "blob"])
 
         for batch in batches:
-            for some in slices(batch, "text", 8 << 20):
+            for some in slices(batch, "text", 4 << 20):
                 ids, at = own.encode(some.column("text"))
                 held.append((some.column("doc_id").cast(pa.int64()).fill_null(_NULL_ID).to_numpy(zero_copy_only=False), at, ids.astype(np.uint32 if wide else np.uint16)))
                 n += len(ids)

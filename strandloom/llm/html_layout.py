@@ -373,7 +373,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "html", 8 << 20):
+            for part in slices(batch, "html", 1 << 20):
                 texts = [extract(h) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), pa.array(texts, pa.string())], ["page_id", "text"])
 

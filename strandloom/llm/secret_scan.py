@@ -134,7 +134,7 @@ def scan_documents(docs: DataFrame, vocabulary: str, limit: float = CHARS_PER_TO
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         efficiency = _efficiency(vocabulary)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 cols: list[list] = [[] for _ in range(6)]
                 for text in part.column("text").to_pylist():
                     base = base_spans(text) if text else []
@@ -165,7 +165,7 @@ def mask_documents(docs: DataFrame, vocabulary: str, limit: float = CHARS_PER_TO
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         efficiency = _efficiency(vocabulary)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 texts = [t and mask(t, base_spans(t) + random_spans(t, efficiency, limit)) for t in part.column("text").to_pylist()]
                 k = part.schema.get_field_index("text")
                 yield part.set_column(k, part.schema.field(k), pa.array(texts, part.schema.field(k).type))
