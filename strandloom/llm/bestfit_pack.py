@@ -2,7 +2,8 @@
 
 Pieces arrive one after another. A fixed number of bins is open; a bitset keyed by free
 space finds the bin with the least free space that still takes a piece; a new bin opens
-only when none does, and when too many are open the fullest closes first. Pieces are
+only when none does, and when too many are open the fullest closes first. Pieces arrive in
+short runs, the longest of a run first, so that short ones fill what long ones leave. They are
 dealt to tasks by the hash of their key, so no task depends on another, a copied text
 spreads over tasks, and each task leaves only its last open bins partly filled.
 
@@ -26,6 +27,7 @@ from strandloom.llm._shared import slices, written
 
 OPEN_BINS = 1024
 PIECES_PER_TASK = 200_000
+RUN = 4096
 
 
 class BestFit:
@@ -109,9 +111,11 @@ def pack(cut: DataFrame, capacity: int, open_bins: int = OPEN_BINS, per_task: in
 
         bins, high = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column("length").to_pylist()]
-            own = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([high + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], [*names, "sequence_id", "offset"])
+            lengths = batch.column("length").to_numpy()
+            order = np.concatenate([np.zeros(0, np.int64), *(k + np.argsort(-lengths[k : k + RUN], kind="stable") for k in range(0, len(lengths), RUN))])
+            placed = np.array([bins.place(n) for n in lengths[order].tolist()], np.int64).reshape(-1, 2)
+            own = batch.take(pa.array(order))
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(high + placed[:, 0]), pa.array(placed[:, 1].copy())], [*names, "sequence_id", "offset"])
 
     return dealt.mapInArrow(fill, schema)
 
