@@ -34,7 +34,7 @@ from strandloom.llm import _words
 from strandloom.llm._shared import slices, texts_of
 
 NGRAM = 3
-WINDOW = 4
+WINDOW = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 SHARE = 0.5
 ENOUGH = 40
