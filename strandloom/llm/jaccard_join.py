@@ -313,12 +313,12 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     found = written(join_documents(docs, threshold), "members").where("doc_id IS NOT NULL")
     first = F.col("doc_id") == F.col("class_id")
-    ids = written(found.groupBy(F.col("doc_id").alias("_id")).agg(F.sum(first.cast("long")).alias("_n")), "kept")
-    gone = ids.where("_n = 0").select("_id")
+    ids = written(found.groupBy(F.col("doc_id").alias("_kept_doc_id")).agg(F.sum(first.cast("long")).alias("_firsts")), "kept")
+    gone = ids.where("_firsts = 0").select("_kept_doc_id")
     small = gone.count() <= BROADCAST_ROWS  # a long a row; larger ones are joined by a shuffle
-    left = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    several = ids.where("_n > 1").select("_id")
+    left = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_kept_doc_id"), "left_anti")
+    several = ids.where("_firsts > 1").select("_kept_doc_id")
     if several.isEmpty():
         return left
-    once = left.join(several, F.col("doc_id") == F.col("_id"), "left_anti")
-    return once.unionByName(left.join(several, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    once = left.join(several, F.col("doc_id") == F.col("_kept_doc_id"), "left_anti")
+    return once.unionByName(left.join(several, F.col("doc_id") == F.col("_kept_doc_id"), "left_semi").dropDuplicates(["doc_id"]))

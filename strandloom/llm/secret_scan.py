@@ -37,7 +37,8 @@ _RUN_LEAST = 16
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
-_NAMED = re.compile(r"[A-Za-z]*[a-z]{3,}[0-9]{0,4}([_/.+-]+([A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[_/.+-]*")
+_PART = r"(?:[A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,8}|[0-9]{1,2}T[0-9]{1,2}Z?)"
+_NAMED = re.compile(rf"{_PART}(?:[_/.+-]+{_PART})+[_/.+-]*|[A-Z]?[a-z]{{3,}}[0-9]{{1,4}}")
 CHARS_PER_TOKEN = 2.0
 
 

@@ -41,7 +41,7 @@ def test_base_spans_are_those_of_the_patterns(parts):
 def test_random_strings_and_known_ones():
     e = S.TokenEfficiency(VOCABULARY)
     secret = "x9Qv7LmZ2pTfWk4RbN8s"
-    text = f"key {secret} then id user_session_handler_2024 and {'a' * 30} {hashlib.md5(b'1').hexdigest()} 123e4567-e89b-12d3-a456-426614174000 4041894974608795 me.some.one.long2@example.com"
+    text = f"key {secret} then id user_session_handler_2024 and {'a' * 30} {hashlib.md5(b'1').hexdigest()} 123e4567-e89b-12d3-a456-426614174000 4041894974608795 2024-01-15T10-20-30 a/b/c/2024/01/15/page me.some.one.long2@example.com"
     assert [text[s:t] for s, _, t in S.random_spans(text, e)] == [secret]
     assert S.mask(text, S.random_spans(text, e)).startswith("key [SECRET] then")
 
