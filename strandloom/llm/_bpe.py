@@ -26,7 +26,8 @@ _TWO_SPACES = rf"[{_SPACE}] |^ "
 _PIECES = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Pieces with characters from here on are left to the library as they are.
 _LATIN_END = chr(0x250)
-_CACHE_MOST = 350_000
+#: Pieces that an encoder remembers, about 200 bytes each.
+CACHE_PIECES = 350_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,7 +40,7 @@ def _byte_letters() -> dict[int, str]:
 class PieceEncoder:
     """Encodes Arrow text arrays. ``path``: a tokenizers vocabulary file."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, cache: int = CACHE_PIECES):
         import regex
         from tokenizers import Tokenizer
 
@@ -49,7 +50,7 @@ class PieceEncoder:
         self.lower = self.tokenizer.normalizer is not None
         self.split = regex.compile(_WORD_SPLIT if self.lower else _BYTE_SPLIT).findall
         self.letters = _byte_letters()
-        self.end_id = end_id
+        self.end_id, self.cache = end_id, cache
         self.marks = {m: self._unit(m) for m in ".,"}
         self._forget()
 
@@ -110,7 +111,7 @@ class PieceEncoder:
         coded = flat.dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
         names = coded.dictionary.to_pylist()
-        if len(self.known) > _CACHE_MOST:
+        if len(self.known) > self.cache:
             self._forget()
         # each distinct piece with and without its leading space, as it occurs
         pair = index * 2 + lead
@@ -160,14 +161,14 @@ class PieceEncoder:
         return out, offsets
 
 
-_encoders: dict[tuple[str, int], PieceEncoder] = {}
+_encoders: dict[tuple[str, int, int], PieceEncoder] = {}
 
 
-def encoder(path: str, end_id: int) -> PieceEncoder:
+def encoder(path: str, end_id: int, cache: int = CACHE_PIECES) -> PieceEncoder:
     """One encoder for each vocabulary and worker process."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = PieceEncoder(path, end_id)
-    return _encoders[path, end_id]
+    if (path, end_id, cache) not in _encoders:
+        _encoders[path, end_id, cache] = PieceEncoder(path, end_id, cache)
+    return _encoders[path, end_id, cache]
 
 
 def vocabulary(name: str) -> str:

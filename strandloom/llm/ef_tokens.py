@@ -31,6 +31,7 @@ from strandloom.llm._shared import slices, written
 MAGIC = b"SLEF0001"
 SAMPLE = 256
 SEGMENT_TOKENS = 1 << 21
+CACHE_PIECES = 700_000
 _HEAD = struct.Struct("<8sQQQBB6x")
 _NULL_ID = -(1 << 63)
 
@@ -137,7 +138,7 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int, segment_tokens
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, part = encoder(vocabulary, end_id), TaskContext.get().partitionId()
+        own, part = encoder(vocabulary, end_id, CACHE_PIECES), TaskContext.get().partitionId()
         wide = own.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 or end_id >= 1 << 16
         held: list[tuple] = []
         n = segment = 0
@@ -151,7 +152,7 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int, segment_tokens
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "documents", "tokens", "blob"])
 
         for batch in batches:
-            for some in slices(batch, "text", 4 << 20):
+            for some in slices(batch, "text", 8 << 20):
                 ids, at = own.encode(some.column("text"))
                 held.append((some.column("doc_id").cast(pa.int64()).fill_null(_NULL_ID).to_numpy(zero_copy_only=False), at, ids.astype(np.uint32 if wide else np.uint16)))
                 n += len(ids)
