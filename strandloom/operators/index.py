@@ -44,8 +44,10 @@ def kmers(refs: DataFrame, config: SearchConfig) -> DataFrame:
     """db, ref_num, pos, kmer for every window of the references."""
     n = config.kmer
     coded = refs.where(F.length("seq") >= n).select("db", "ref_num", index_alphabet(F.col("seq")).alias("seq"))
-    at = F.explode(F.sequence(F.lit(0), F.length("seq") - n, F.lit(config.interval)))
-    return coded.select("db", "ref_num", "seq", at.alias("pos")).select("db", "ref_num", "pos", F.expr(f"substring(seq, pos + 1, {n})").alias("kmer"))
+    letters = F.col("seq").cast("binary")
+    starts = F.sequence(F.lit(0), F.length("seq") - n, F.lit(config.interval))
+    rows = F.transform(starts, lambda p: F.struct(p.alias("pos"), F.substring(letters, p + 1, F.lit(n)).cast("string").alias("kmer")))
+    return coded.select("db", "ref_num", F.explode(rows).alias("x")).select("db", "ref_num", "x.*")
 
 
 def entries(windows: DataFrame, config: SearchConfig) -> tuple[DataFrame, DataFrame]:

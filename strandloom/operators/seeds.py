@@ -8,6 +8,9 @@ others of its window unless the search is full.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +37,20 @@ def windows(stranded: DataFrame, config: SearchConfig, upto: int = 0, fresh: boo
     """read_id, strand, win, w1, w2 of pass ``upto``; fresh: without the windows of earlier passes."""
     seed, half, steps = config.seed, config.half, config.steps
     starts = F.sequence(F.lit(0), F.length("seq") - seed, F.lit(steps[upto]))
-    at = stranded.where(F.length("seq") >= seed).select("read_id", "strand", "seq", F.explode(starts).alias("win"))
-    if fresh:
-        for step in steps[:upto]:
-            at = at.where(F.col("win") % step != 0)
-    return at.select("read_id", "strand", "win", F.expr(f"substring(seq, win + 1, {half})").alias("w1"), F.expr(f"substring(seq, win + {half + 1}, {half})").alias("w2"))
+    if fresh and upto:
+        earlier = steps[:upto]
+        starts = F.filter(starts, lambda w: reduce(and_, [w % step != 0 for step in earlier]))
+    # cut from bytes, each in constant time, before the explode, which then copies no sequence
+    letters = F.col("seq").cast("binary")
+    cut = lambda w, at: F.substring(letters, w + at + 1, F.lit(half)).cast("string")
+    rows = F.transform(starts, lambda w: F.struct(w.alias("win"), cut(w, 0).alias("w1"), cut(w, half).alias("w2")))
+    return stranded.where(F.length("seq") >= seed).select("read_id", "strand", F.explode(rows).alias("x")).select("read_id", "strand", "x.*")
+
+
+def spread(reads: DataFrame) -> DataFrame:
+    """``reads`` over as many partitions as the cluster runs at once, where the files give fewer."""
+    n = reads.sparkSession.sparkContext.defaultParallelism
+    return reads.repartition(n, "read_id") if reads.rdd.getNumPartitions() < n else reads
 
 
 def one_edit(pattern: Column, tail: Column, half: int) -> Column:

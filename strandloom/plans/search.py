@@ -61,7 +61,7 @@ class Search:
         pass's plan starts from tables.
         """
         config, least = self.config, {db: s.minimal_score for db, s in self.stats().items()}
-        left = self.reads.where(F.length("seq") >= config.seed)
+        left = seeds.spread(self.reads.where(F.length("seq") >= config.seed))
         earlier, out = None, None
         for k in range(len(config.steps)):
             found = seeds.windows(seeds.strands(left, config), config, k)
