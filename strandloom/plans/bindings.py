@@ -24,8 +24,9 @@ CONFIG = SearchConfig(max_read_len=10_000_000, gumbel=(LAMBDA, K))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("read_id"), F.concat(F.lit("@"), F.col("doc_id").cast("string"), F.lit(" "), "source").alias("header"), encode.text_sequence(F.col("text")).alias("seq"), F.lit(None).cast("string").alias("qual"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("read_id"), "source", "text")
+    name = F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit(" "), "source")
+    return seeds.spread(docs).select("read_id", name.alias("header"), encode.text_sequence(F.col("text")).alias("seq"), F.lit(None).cast("string").alias("qual"))
 
 
 CHUNK = 100
@@ -33,7 +34,7 @@ CHUNK = 100
 
 def short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All letters of all documents as reads of CHUNK letters; read_id is document and place."""
-    whole = seeds.spread(reads(spark, sf_dir).where(F.length("seq") > 0))
+    whole = reads(spark, sf_dir).where(F.length("seq") > 0)
     letters = F.col("seq").cast("binary")
     starts = F.sequence(F.lit(0), F.length("seq") - 1, F.lit(CHUNK))
     cut = F.transform(starts, lambda p: F.struct(p.alias("at"), F.substring(letters, p + 1, F.lit(CHUNK)).cast("string").alias("seq")))
@@ -64,7 +65,7 @@ def _small(ix: index.SeedIndex) -> bool:
 
 
 def _windows(r: DataFrame, forward_only: bool = False) -> DataFrame:
-    return seeds.windows(seeds.strands(seeds.spread(r), CONFIG.with_(reverse=not forward_only)), CONFIG, 0)
+    return seeds.windows(seeds.strands(r, CONFIG.with_(reverse=not forward_only)), CONFIG, 0)
 
 
 def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
