@@ -3,7 +3,8 @@
 A run of credential characters that a byte-pair vocabulary can only spell in very
 short tokens is random; words, names and paths take long tokens. Runs that are known
 digests (their length and hexadecimal letters), UUIDs, numbers, or identifiers made of
-words and counters are left out first.
+words and counters are left out first. A run has 16 letters or more and needs no digit;
+one limit holds for all. Words joined by marks count as identifiers, whatever the words.
 
 Spans are (kind, start, end) in code points, end exclusive. Defined cases: null text is
 empty and has no span; a text of any length is scanned whole; equal rows give equal
@@ -30,10 +31,11 @@ BASE = (
 _BASE = [(kind, re.compile(p, f), g, least) for kind, p, f, g, least in BASE]
 #: Hexadecimal lengths of md5, sha1, sha224, sha256, sha384 and sha512 (fixed values).
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
-_DIGITS = re.compile(r"[0-9]+")
 _HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _RUN_LEAST = 16
+#: The letters of a run: two less than its least length, as padding counts.
+_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{_RUN_LEAST - 2},}}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
@@ -88,22 +90,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def runs(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the maximal runs of credential letters that hold a digit, are long enough and no part of an address."""
-    out, end = [], 0
-    for m in _DIGITS.finditer(text):
+    """(start, end) of the maximal runs of credential letters that are long enough and no part of an address."""
+    out = []
+    for m in _RUN.finditer(text):
         s, e = m.span()
-        if s < end:
-            continue
-        while s > 0 and text[s - 1] in _LETTERS:
-            s -= 1
-        while e < len(text) and text[e] in _LETTERS:
-            e += 1
         pad = e
         while pad < min(len(text), e + 2) and text[pad] == "=":
             pad += 1
         if pad == len(text) or text[pad] not in _LETTERS:
             e = pad  # the padding of base 64
-        end = e
         if e - s >= _RUN_LEAST and text[e : e + 1] != "@":
             out.append((s, e))
     return out

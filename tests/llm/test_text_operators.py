@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -46,6 +48,16 @@ def test_random_strings_and_known_ones():
     assert S.mask(text, S.random_spans(text, e)).startswith("key [SECRET] then")
 
 
+@pytest.mark.parametrize("letters", [string.ascii_letters, string.ascii_uppercase, string.ascii_letters + "+/"])
+def test_random_strings_without_a_digit(letters):
+    rng, e = random.Random(3), S.TokenEfficiency(VOCABULARY)
+    keys = ["".join(rng.choice(letters) for _ in range(20)) for _ in range(300)]
+    whole = [S.random_spans(f"key {k} then", e) == [(4, len(S.BASE), 24)] for k in keys]
+    assert sum(whole) >= 290
+    words = "internationalization INTERNATIONALIZATION getElementsByTagName Rechtsschutzversicherungsgesellschaften ---------------- someone-with-long-name@example.com /usr/local/share/applications"
+    assert S.random_spans(words, e) == []
+
+
 def test_scan_rows(odd_docs, no_docs):
     rows = S.scan_documents(odd_docs, VOCABULARY).collect()
     assert len(rows) == odd_docs.count() and all(r.n_assign == r.n_access == r.n_hex == 0 for r in rows)
