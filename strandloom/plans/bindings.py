@@ -3,7 +3,7 @@
 Reads are documents, references are benchmark items, mates are turns of conversations;
 their letters stand for bases (see ``text_sequence``). Queries about alignments take
 rows made from candidate counts, so that SQL can make them too; ``alignments`` and the
-reports after it run the whole search over all documents cut in short reads.
+reports after it run the whole search over all documents, each a whole read.
 """
 
 from __future__ import annotations
@@ -29,19 +29,6 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.spread(docs).select("read_id", name.alias("header"), encode.text_sequence(F.col("text")).alias("seq"), F.lit(None).cast("string").alias("qual"))
 
 
-CHUNK = 100
-
-
-def short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All letters of all documents as reads of CHUNK letters; read_id is document and place."""
-    whole = reads(spark, sf_dir).where(F.length("seq") > 0)
-    letters = F.col("seq").cast("binary")
-    starts = F.sequence(F.lit(0), F.length("seq") - 1, F.lit(CHUNK))
-    cut = F.transform(starts, lambda p: F.struct(p.alias("at"), F.substring(letters, p + 1, F.lit(CHUNK)).cast("string").alias("seq")))
-    rows = whole.select("read_id", "header", "qual", F.explode(cut).alias("x"))
-    return rows.select(F.concat_ws("_", "read_id", "x.at").alias("read_id"), "header", "x.seq", "qual")
-
-
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return items.select(F.lit(0).alias("db"), F.col("item_id").alias("ref_num"), F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("ref_id"), F.concat(F.lit(">item"), F.col("item_id").cast("string"), F.lit(" benchmark")).alias("header"), encode.text_sequence(F.col("text")).alias("seq"))
@@ -360,7 +347,8 @@ def q_summary_log(spark, d):
 
 
 def whole_search(spark: SparkSession, d: str) -> tuple[Search, DataFrame]:
-    search = Search(short_reads(spark, d), refs(spark, d), CONFIG).checked()
+    r = reads(spark, d).withColumn("read_id", F.col("read_id").cast("string"))
+    search = Search(r, refs(spark, d), CONFIG).checked()
     return search, search.alignments()
 
 
