@@ -6,7 +6,9 @@ blank lines where margins would be, list items with marks and depth, preformatte
 as it is, and table cells in aligned columns.
 
 Defined cases: null and empty pages have empty text; unclosed, misnested and unknown
-tags never fail; pages of any length are rendered whole and nesting of any depth is
+tags never fail; of formulas and drawings the text is shown, without titles and notes;
+a drop-down shows its chosen option, a list box all; a text area shows its content on
+lines of its own; pages of any length are rendered whole and nesting of any depth is
 walked without recursion; an empty table gives an empty result; repeated rows give equal
 rows; extra columns are ignored.
 """
@@ -25,8 +27,8 @@ from strandloom.llm._shared import slices
 # Fixed values of HTML: which elements are void, hidden, raw, blocks, and which end which.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math select datalist dialog textarea title area base link meta param source track".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul listing xmp caption tr tbody thead tfoot".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist dialog title area base link meta param source track".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul listing xmp caption tr tbody thead tfoot textarea".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure hr menu dir fieldset listing xmp".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt listing xmp".split())
 #: A start tag of the key ends an open element of the first set, unless one of the second stands between.
@@ -44,6 +46,13 @@ IMPLIED = {
     "optgroup": ({"option", "optgroup"}, {"select", "body"}),
     "body": ({"head"}, {"body"}),
 }
+#: What may stand in a head; all else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+#: Of formulas and drawings: what is not shown, what holds HTML again, what stands apart, and the HTML tags that end them.
+UNSHOWN = frozenset("title desc metadata defs annotation annotation-xml".split())
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+APART = frozenset("text tspan textpath mtd".split())
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SCOPE = frozenset("table td th caption html body button object template".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([A-Za-z][^\s/>]*)[^>]*>|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -53,10 +62,12 @@ _BULLETS = "*-+"
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    """foreign: an element of a formula or drawing whose content is so too."""
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+    __slots__ = ("attrs", "children", "foreign", "tag")
+
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, foreign: bool = False):
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs or {}, [], foreign
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -74,7 +85,10 @@ def build(source: str) -> Node:
 
     def text(raw: str) -> None:
         if raw:
-            stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
+            shown = html.unescape(raw) if "&" in raw else raw
+            if stack[-1].tag == "head" and shown.strip(" \t\n\r\f"):
+                stack.pop()  # so does text
+            stack[-1].children.append(shown)
 
     def close(tags: set, barriers) -> None:
         """Closes the nearest open element of ``tags`` above a barrier, and all in it."""
@@ -99,6 +113,15 @@ def build(source: str) -> Node:
             tag = tag.lower()
             if tag == "html" or (tag == "body" and any(x.tag == "body" for x in stack)):
                 continue
+            foreign = stack[-1].foreign
+            if foreign and tag in ENDS_FOREIGN:
+                while stack[-1].foreign:
+                    stack.pop()
+                foreign = False
+            if tag in ("select", "input", "textarea") and not foreign and any(x.tag == "select" for x in stack):
+                close({"select"}, ())
+                if tag == "select":
+                    continue  # it only ends the open one
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
             if tag in ENDS_P:
@@ -107,18 +130,21 @@ def build(source: str) -> Node:
                 row = Node("tr")
                 stack[-1].children.append(row)
                 stack.append(row)
-            if stack[-1].tag == "head" and tag not in HIDDEN and tag not in ("meta", "link", "base"):
+            if stack[-1].tag == "head" and tag not in IN_HEAD:
                 stack.pop()  # content ends the head
-            node = Node(tag, _attributes(m[3]))
+            node = Node(tag, _attributes(m[3]), tag in ("svg", "math") or (foreign and tag not in HOLDS_HTML))
             stack[-1].children.append(node)
-            if tag in VOID:
+            if foreign and (tag in UNSHOWN or node.attrs.get("display") == "none" or node.attrs.get("visibility") in ("hidden", "collapse")):
+                node.attrs["hidden"] = ""
+            if tag in VOID and not foreign:
                 continue
-            if tag in RAW:
+            if tag in RAW and not foreign:
                 stop = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(source, at)
-                node.children.append(source[at : stop.start() if stop else n])
+                inner = source[at : stop.start() if stop else n]
+                node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
                 at = stop.end() if stop else n
                 continue
-            if tag not in ("svg", "math") or not m[3].rstrip().endswith("/"):
+            if not (foreign or node.foreign) or not m[3].rstrip().endswith("/"):
                 stack.append(node)
         elif end:
             end = end.lower()
@@ -134,6 +160,8 @@ def build(source: str) -> Node:
                         break
                     if stack[k].tag in barrier:
                         break
+        elif stack[-1].foreign and m[0].startswith("<![CDATA["):
+            stack[-1].children.append(m[0][9:].removesuffix("]]>"))
     return root
 
 
@@ -264,6 +292,34 @@ def table_lines(table: Node, depth: int) -> list[str]:
     return lines
 
 
+def options(select: Node) -> list:
+    """What a select shows: all options and group names of a list box, each on a line; else the chosen option."""
+    size = select.attrs.get("size", "1")
+    box = "multiple" in select.attrs or (size.isdecimal() and int(size[:9]) > 1)
+    lines, chosen, first, todo = [], None, None, [(x, False) for x in reversed(select.children)]
+    while todo:
+        node, off = todo.pop()
+        if isinstance(node, str) or not visible(node):
+            continue
+        off |= "disabled" in node.attrs
+        label = node.attrs.get("label")
+        if node.tag == "option":
+            line = Node("div")
+            line.children = [label] if label else node.children
+            lines.append(line)
+            chosen = line if "selected" in node.attrs else chosen
+            first = line if first is None and not off else first
+            continue
+        if node.tag == "optgroup" and label:
+            lines.append(Node("div"))
+            lines[-1].children = [label]
+        todo += [(x, off) for x in reversed(node.children)]
+    if box:
+        return lines
+    shown = chosen or first
+    return [" ", *shown.children, " "] if shown else []
+
+
 _DEEPEST = 40
 
 
@@ -280,13 +336,13 @@ def render(nodes: list, depth: int = 0) -> str:
             tag = node.tag
             if tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
-            if tag in ("pre", "listing", "xmp"):
+            if tag in ("pre", "listing", "xmp", "textarea"):
                 pre -= 1
             if tag in BLOCK:
                 out.end(tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists))
                 if kept is not None:
                     out.indent, out.mark = kept, ""
-            elif tag in ("td", "th"):
+            elif tag in ("td", "th") or (node.foreign and tag in APART):
                 out.words(" ")
             continue
         if isinstance(node, str):
@@ -322,6 +378,9 @@ def render(nodes: list, depth: int = 0) -> str:
             if node.attrs.get("type", "text").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
                 out.words(" " + node.attrs["value"] + " ")
             continue
+        if tag == "select":
+            todo += [("open", c, None) for c in reversed(options(node))]
+            continue
         if tag == "details" and "open" not in node.attrs:
             shown = [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
             todo.append(("close", node, None))
@@ -349,7 +408,7 @@ def render(nodes: list, depth: int = 0) -> str:
                 lists[-1][0] += 1
         elif tag == "dd" or tag == "blockquote":
             out.indent += "  "
-        elif tag in ("pre", "listing", "xmp"):
+        elif tag in ("pre", "listing", "xmp", "textarea"):
             if out.blank and out.lines:
                 out.lines.append("")
             out.blank = False
@@ -358,6 +417,8 @@ def render(nodes: list, depth: int = 0) -> str:
                 node.children[0] = node.children[0][1:]
         elif tag == "q":
             out.words('"')
+        elif node.foreign and tag in APART:
+            out.words(" ")
         todo.append(("close", node, kept))
         todo += [("open", c, None) for c in reversed(node.children)]
     return out.text()

@@ -29,6 +29,26 @@ def test_hidden_parts():
     assert extract("<img alt='pic'><input type=hidden value=no><input type=submit value=Go>") == "pic Go"
 
 
+def test_formulas_and_drawings():
+    assert extract("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></mrow><annotation>no</annotation></semantics></math> holds") == "so x=2 holds"
+    assert extract("a <svg><title/><title>no</title><defs><text>no</text></defs><desc>no</desc><metadata>no</metadata><path d='M0'/><text>One &amp;</text><text><![CDATA[<two>]]></text></svg> b") == "a One & <two> b"
+    assert extract("<svg><foreignObject><p>in</p></foreignObject><text display=none>no</text></svg><svg><defs/><text>t</text><p>out") == "in\n\nt\n\nout"
+    assert extract("<desc>a</desc> <defs>b</defs>") == "a b"
+
+
+def test_form_content():
+    assert extract("pick <select><option>a<option selected>b</select> now") == "pick b now"
+    assert extract("<select><option disabled>a<optgroup label=g><option>b</optgroup></select>") == "b"
+    assert extract("<select multiple><option>a<optgroup label=g><option label=c>b</select>z") == "a\ng\nc\nz"
+    assert extract("x<textarea>\na  &lt;b>\n c</textarea>y") == "x\na  <b>\n c\ny"
+
+
+def test_text_ends_an_open_head():
+    assert extract("<head><title>T</title>Hello there<p>x") == "Hello there\n\nx"
+    assert extract("<html><head>\n<title>T</title>\nonly text") == "only text"
+    assert extract("<head><title>T</title><noscript>no</noscript> <dialog open>yes</dialog>") == "yes"
+
+
 def test_preformatted_text_stays():
     assert extract("<p>x</p><pre>\na  b\n\n  c</pre>y") == "x\n\na  b\n\n  c\n\ny"
 
