@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-1. The benchmark's word n-grams are counted in all training texts.
-2. In every window of ``WINDOW`` consecutive n-grams of an item the one of least count is
-   a seed. So each stretch of an item that keeps ``WINDOW + NGRAM - 1`` words in a row
-   holds a seed, however common the passage is in the corpus.
-3. A training text meets an item where it holds one of its seeds; nearby hits join to
+1. Every word n-gram of an item is a seed, so each stretch that keeps ``NGRAM`` words in
+   a row holds one, however common the passage is in the corpus and wherever else its
+   words are changed.
+2. A training text meets an item where it holds one of its seeds; nearby hits join to
    passages.
-4. The passage's words are aligned with the item's (match +2, mismatch -1, gap -1). A
+3. The passage's words are aligned with the item's (match +2, mismatch -1, gap -1). A
    text is contaminated by an item when the score reaches that of half of the item's
    words, or of ``ENOUGH`` words for long items.
 
@@ -34,7 +33,6 @@ from strandloom.llm import _words
 from strandloom.llm._shared import slices, texts_of
 
 NGRAM = 3
-WINDOW = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 SHARE = 0.5
 ENOUGH = 40
@@ -43,17 +41,16 @@ FILTER_BITS = 22
 
 
 class Items:
-    """Word hashes of a block of benchmark items and, once counted, its seeds."""
+    """Word hashes of a block of benchmark items and its seeds."""
 
     def __init__(self, ids: list[int], hashes: np.ndarray, at: np.ndarray, n: int = NGRAM):
         self.ids, self.hashes, self.at, self.n = ids, hashes, at, n
         grams, gram_at = _words.ngrams(hashes, at, n, short=True)
-        self.item = np.repeat(np.arange(len(ids)), np.diff(gram_at))
-        self.place = np.arange(len(grams)) - gram_at[self.item]
-        self.gram, self.gram_at = grams, gram_at
-        self.grams = np.unique(grams)
-        self.filter = self._filter(self.grams)
-        self.seeds = np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(ids)), np.diff(gram_at))
+        place = np.arange(len(grams)) - gram_at[item]
+        order = np.argsort(grams, kind="stable")
+        self.seeds, self.seed_item, self.seed_place = grams[order], item[order], place[order]
+        self.filter = self._filter(self.seeds)
 
     @staticmethod
     def _filter(values: np.ndarray) -> np.ndarray:
@@ -61,21 +58,6 @@ class Items:
         out[(values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         return out
 
-    def choose(self, counts: dict[int, int], window: int = WINDOW) -> None:
-        """Keeps the least counted n-gram of every window as a seed; ties go to the earlier place."""
-        count = np.array([counts.get(g, 0) for g in self.gram.view(np.int64).tolist()], np.int64)
-        keep = np.zeros(len(count), bool)
-        for k in range(len(self.ids)):
-            s, e = int(self.gram_at[k]), int(self.gram_at[k + 1])
-            w = min(window, e - s)
-            if w:
-                view = np.lib.stride_tricks.sliding_window_view(count[s:e], w)
-                keep[s + np.arange(len(view)) + view.argmin(1)] = True
-        order = np.argsort(self.gram[keep], kind="stable")
-        self.seeds = self.gram[keep][order]
-        self.seed_item, self.seed_place = self.item[keep][order], self.place[keep][order]
-        self.filter = self._filter(self.seeds)
-
     def among(self, grams: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Places in ``grams`` of those that are in the sorted ``values``."""
         maybe = np.flatnonzero(self.filter[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -184,34 +166,13 @@ def blocks(benchmark: DataFrame, words: int = BLOCK_WORDS) -> Iterator[Items]:
         yield made()
 
 
-def seeded(docs: DataFrame, items: Items) -> Items:
-    """``items`` with seeds by the n-gram counts of all of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        total = np.zeros(len(own.grams), np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                grams, _ = _words.ngrams(*_words.words(texts_of(part)), own.n)
-                total += np.bincount(np.searchsorted(own.grams, grams[own.among(grams, own.grams)]), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own.grams[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-    # at most one row for each n-gram of the block
-    rows = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    items.choose({r["gram"]: r["n"] for r in rows})
-    shared.unpersist()
-    return items
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, share, start_word, end_word of each contaminated text and item."""
     schema = "doc_id long, item_id long, score int, share double, start_word int, end_word int"
     mine = docs.select("doc_id", "text")
     out = docs.sparkSession.createDataFrame([], schema)
     for items in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(seeded(mine, items))
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
@@ -231,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated ones; a round for each block of the benchmark."""
     for items in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(seeded(docs, items))
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -79,3 +79,12 @@ def test_odd_cases(spark, odd_docs, no_docs):
     assert D.clean(odd_docs, items).columns == odd_docs.columns
     assert D.contaminated(no_docs, items).count() == 0
     assert D.contaminated(odd_docs, items.limit(0)).count() == 0
+
+
+def test_hot_copies_with_every_fourth_word_changed(spark):
+    item = [f"v{k}" for k in range(40)]
+    changed = [w if k % 4 else f"x{k}" for k, w in enumerate(item)]
+    docs = [(k, " ".join([f"a{k}", *changed, f"b{k}"])) for k in range(30)] + [(30, " ".join(item)), (31, "nothing of it")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in D.contaminated(d, b).collect()) == list(range(31))
+    assert [r.doc_id for r in D.clean(d, b).collect()] == [31]
