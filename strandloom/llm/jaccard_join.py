@@ -261,13 +261,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def join_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(documents as doc_id, node; classes as node, copies, links, class_id)."""
+    """(documents as doc_id, _text, node; classes as node, copies, links, class_id, first).
+
+    first: the least (doc_id, text hash) of the class's rows with a doc_id.
+    """
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = mine.withColumn("_text", F.xxhash64("text"))
     sketch = written(keyed.mapInArrow(_sketch, "doc_id long, _text long, node long, size int, bands array<int>, signature binary"), "sketches")
     known = sketch.where("node IS NOT NULL")
     who = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "_text")
-    nodes = known.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(who).alias("who"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    nodes = known.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(who).alias("who"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_text"))).alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = written(nodes, "classes")
 
     band = nodes.select("node", F.posexplode("bands").alias("band", "value"))
@@ -289,12 +292,12 @@ def join_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.select("node", "root").distinct())
-    owned = nodes.select("node", "copies", "least").join(parts, "node", "left").join(links, "node", "left")
-    owned = owned.select("node", "copies", "least", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    owned = nodes.select("node", "copies", "least", "first").join(parts, "node", "left").join(links, "node", "left")
+    owned = owned.select("node", "copies", "least", "first", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     owned = written(owned, "owned")
-    names = owned.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = written(owned.join(names, "root").select("node", "copies", "links", "class_id"), "named")
-    return sketch.select("doc_id", "node"), classes
+    names = owned.groupBy("root").agg(F.min("least").alias("class_id"), F.min("first").alias("first"))
+    classes = written(owned.drop("first").join(names, "root").select("node", "copies", "links", "class_id", "first"), "named")
+    return sketch.select("doc_id", "_text", "node"), classes
 
 
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -306,19 +309,23 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the document of least doc_id of each class only.
+    """``docs`` with one document of each class only: of the least doc_id, then of the least text hash.
 
-    Rows without a doc_id stay; equal rows of the kept doc_id are kept once; a doc_id with
-    several texts stays where one of them is its class's first.
+    Rows without a doc_id stay; rows of one doc_id and text are kept once. What is kept is
+    a doc_id with its text, so of a doc_id with several texts each stays that is its
+    class's first, and no other.
     """
-    found = written(join_documents(docs, threshold), "members").where("doc_id IS NOT NULL")
-    first = F.col("doc_id") == F.col("class_id")
-    ids = written(found.groupBy(F.col("doc_id").alias("_kept_doc_id")).agg(F.sum(first.cast("long")).alias("_firsts")), "kept")
-    gone = ids.where("_firsts = 0").select("_kept_doc_id")
-    small = gone.count() <= BROADCAST_ROWS  # a long a row; larger ones are joined by a shuffle
-    left = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_kept_doc_id"), "left_anti")
-    several = ids.where("_firsts > 1").select("_kept_doc_id")
+    members, classes = join_classes(docs, threshold)
+    kept = F.col("node").isNull() | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("_text") == F.col("first._text")))
+    found = members.where("doc_id IS NOT NULL").join(classes.select("node", "first"), "node", "left")
+    found = found.groupBy(F.col("doc_id").alias("_kept_doc_id"), F.col("_text").alias("_kept_text")).agg(F.max(kept).alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    found = written(found, "kept")
+    same = (F.col("doc_id") == F.col("_kept_doc_id")) & (F.xxhash64("text") == F.col("_kept_text"))
+    gone = found.where("NOT _kept").select("_kept_doc_id", "_kept_text")
+    small = gone.count() <= BROADCAST_ROWS  # two longs a row; larger ones are joined by a shuffle
+    left = docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    several = found.where("_kept AND _rows > 1").select("_kept_doc_id", "_kept_text")
     if several.isEmpty():
         return left
-    once = left.join(several, F.col("doc_id") == F.col("_kept_doc_id"), "left_anti")
-    return once.unionByName(left.join(several, F.col("doc_id") == F.col("_kept_doc_id"), "left_semi").dropDuplicates(["doc_id"]))
+    once = left.join(several, same, "left_anti")
+    return once.unionByName(left.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"]))

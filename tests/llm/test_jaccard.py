@@ -79,6 +79,16 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in got) == sorted({c for _, c, _ in _brute(rows)})
 
 
+def test_a_doc_id_of_two_texts_stays_for_each_class(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two), (4, three), (1, three), (1, one), (5, None), (5, "x y z"), (None, one)]
+    got = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, one), (1, two), (1, three), (5, None), (5, "x y z"), (None, one)], key=str)
+    rows = [(1, one), (2, two), (2, one + " more"), (3, two)]
+    got = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, one), (2, two)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(300)] + [(1001, 1000)], "node long, root long")
     got = {r.node: r.root for r in J.components(edges).collect()}
