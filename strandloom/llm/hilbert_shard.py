@@ -96,7 +96,8 @@ def shard_by_curve(rows: DataFrame, dims: list[Column], bits: int, id_column: st
     placed = ranged.join(F.broadcast(ranges.select("_part", "_b0", "_r0")), "_part")
     placed = placed.select(
         "*",
-        (F.sum("size").over(order) - F.col("size") + F.col("_b0")).alias("_at"),
+        # by rows: equal rows, too, are cut between
+        (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") + F.col("_b0")).alias("_at"),
         (F.row_number().over(order) - 1 + F.col("_r0")).alias("_row"),
         F.sum("size").over(whole).alias("_here"),
     ).withColumn("_first", F.min("_at").over(whole))

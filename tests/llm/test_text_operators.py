@@ -177,6 +177,17 @@ def test_shards_are_near_equal_and_gapless(spark):
     assert len(size) == 16 and max(abs(v - mean) for v in size.values()) <= 2 * max(201, mean / 20)
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_a_third_of_the_same_row_is_cut_between(spark, hot):
+    rows = [(k, f"text {k}", "en", "s") for k in range(600)] + [(hot, "same text", "en", "s")] * 300
+    got = H.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    mean = sum(size.values()) / 16
+    assert len(got) == 900 and len(size) == 16 and max(abs(v - mean) for v in size.values()) <= 40
+
+
 def test_shard_odd_cases(odd_docs, no_docs):
     rows = H.shard_documents(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.shard < 16 and r.grown_shard is None for r in rows)
