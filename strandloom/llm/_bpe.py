@@ -5,10 +5,16 @@ non-space character into a following white-space character. So a text may be cut
 before any space that follows a non-space character and its pieces encoded apart:
 the ids are those of the whole text. Pieces repeat often; each distinct one goes
 through the library once for every batch or cache life.
+
+The ids are those of the library as its file makes it: a special token's string in a text
+is that token. ``special_as_text`` makes such strings ordinary text instead. A vocabulary
+file whose normalizer, split or added tokens are of no known kind is left to the library,
+text by text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from array import array
@@ -24,6 +30,13 @@ _BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TWO_SPACES = rf"[{_SPACE}] |^ "
 _PIECES = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: The two kinds' normalizer and pre-tokenizer as their files state them (fixed values).
+_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_BYTE_KIND = (None, _LEVEL | {"use_regex": True})
+_WORD_KIND = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True}, _LEVEL | {"use_regex": False}]},
+)
 #: Pieces with characters from here on are left to the library as they are.
 _LATIN_END = chr(0x250)
 #: Pieces that an encoder remembers, about 200 bytes each.
@@ -40,19 +53,28 @@ def _byte_letters() -> dict[int, str]:
 class PieceEncoder:
     """Encodes Arrow text arrays. ``path``: a tokenizers vocabulary file."""
 
-    def __init__(self, path: str, end_id: int, cache: int = CACHE_PIECES):
+    def __init__(self, path: str, end_id: int, cache: int = CACHE_PIECES, special_as_text: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
-        self.lower = self.tokenizer.normalizer is not None
+        stated = json.loads(self.tokenizer.to_str())
+        kind = (stated["normalizer"], stated["pre_tokenizer"])
+        self.lower = kind == _WORD_KIND
+        added = stated["added_tokens"]
+        plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and t["content"].split() == [t["content"]] for t in added)
+        self.whole = kind not in (_BYTE_KIND, _WORD_KIND) or not plain or stated["truncation"] is not None or stated["padding"] is not None
+        #: finds a piece with a special token, which goes to the library
+        own = [re.escape(t["content"]) for t in added if not (special_as_text and t["special"])]
+        self.special = re.compile("|".join(own)).search if own else (lambda piece: None)
         self.split = regex.compile(_WORD_SPLIT if self.lower else _BYTE_SPLIT).findall
         self.letters = _byte_letters()
         self.end_id, self.cache = end_id, cache
-        self.marks = {m: self._unit(m) for m in ".,"}
         self._forget()
+        if not self.whole:
+            self.marks = {m: self._unit(m) for m in ".,"}
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -70,7 +92,7 @@ class PieceEncoder:
         return [t.id for t in self.model.tokenize(mapped)]
 
     def _learn(self, piece: str) -> int:
-        if not piece.isascii() and max(piece) >= _LATIN_END:
+        if (not piece.isascii() and max(piece) >= _LATIN_END) or self.special(piece):
             return self._add(piece, self.tokenizer.encode(piece, add_special_tokens=False).ids)
         plain = piece
         if self.lower:
@@ -97,6 +119,9 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, null as empty, each text's ids ended by ``end_id``."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.whole:
+            each = [[*self.tokenizer.encode(t, add_special_tokens=False).ids, self.end_id] for t in texts.to_pylist()]
+            return np.array([i for ids in each for i in ids], np.uint32), np.cumsum([0, *map(len, each)])
         split = pc.split_pattern(texts, " ")
         sizes = np.diff(split.offsets.to_numpy()).astype(np.int64)
         flat = split.flatten()
@@ -161,14 +186,15 @@ class PieceEncoder:
         return out, offsets
 
 
-_encoders: dict[tuple[str, int, int], PieceEncoder] = {}
+_encoders: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, end_id: int, cache: int = CACHE_PIECES) -> PieceEncoder:
+def encoder(path: str, end_id: int, cache: int = CACHE_PIECES, special_as_text: bool = False) -> PieceEncoder:
     """One encoder for each vocabulary and worker process."""
-    if (path, end_id, cache) not in _encoders:
-        _encoders[path, end_id, cache] = PieceEncoder(path, end_id, cache)
-    return _encoders[path, end_id, cache]
+    key = (path, end_id, cache, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(*key)
+    return _encoders[key]
 
 
 def vocabulary(name: str) -> str:

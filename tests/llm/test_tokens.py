@@ -14,19 +14,21 @@ from strandloom.llm._bpe import PieceEncoder, vocabulary
 
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 ODD = ["a  b", "  lead", " one", "x\n y", "tab\t z", "é É ſ İ", "", "  ", "a\x1c b", "<|endoftext|> hi", "it's 'tis don't we'LL", "a 　 b", "x²½ a1b2c3", "Σας ΟΔΟΣ", "ét́", "tail. tail, .", "😀 x", None]
+PARTS = ["a", "b", " ", " ", "  ", "Ze", ".", ",", "'s", "\n", "é", "1", "²", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext", "\u0338", "\u3000"]
 _made = {}
 
 
-def _pair(name):
-    if name not in _made:
+def _pair(name, as_text=False):
+    if (name, as_text) not in _made:
         plain = Tokenizer.from_file(vocabulary(name))
-        plain.encode_special_tokens = True
-        _made[name] = (PieceEncoder(vocabulary(name), 2), plain)
-    return _made[name]
+        if as_text:
+            plain.encode_special_tokens = True
+        _made[name, as_text] = (PieceEncoder(vocabulary(name), 2, special_as_text=as_text), plain)
+    return _made[name, as_text]
 
 
-def _same(name, texts):
-    mine, plain = _pair(name)
+def _same(name, texts, as_text=False):
+    mine, plain = _pair(name, as_text)
     ids, at = mine.encode(pa.array(texts, pa.string()))
     for k, t in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 2], t
@@ -44,6 +46,31 @@ def test_any_text_gives_the_librarys_ids(name, texts):
     _same(name, texts)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from(NAMES), st.booleans(), st.lists(st.lists(st.sampled_from(PARTS), max_size=10).map("".join), min_size=1, max_size=6))
+def test_special_strings_are_what_the_library_makes_of_them(name, as_text, texts):
+    _same(name, texts, as_text)
+
+
+def test_special_strings_are_their_tokens():
+    for name, token in zip(NAMES, (50256, 49407), strict=True):
+        ids, _ = _pair(name)[0].encode(pa.array(["x <|endoftext|>y"]))
+        assert token in ids.tolist()
+
+
+def test_a_vocabulary_of_another_kind_is_left_to_the_library(tmp_path):
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    for k, change in enumerate((lambda t: setattr(t, "normalizer", normalizers.NFKC()), lambda t: setattr(t, "pre_tokenizer", pre_tokenizers.Split(Regex("b"), "isolated")), lambda t: t.add_tokens(["lead one"]))):
+        plain = Tokenizer.from_file(vocabulary(NAMES[0]))
+        change(plain)
+        plain.save(f"{tmp_path}/{k}.json")
+        mine = PieceEncoder(f"{tmp_path}/{k}.json", 2)
+        assert mine.whole
+        ids, at = mine.encode(pa.array(ODD, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in ODD]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=900))
 def test_elias_fano_selects_what_was_put_in(gaps):
