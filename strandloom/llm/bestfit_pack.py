@@ -3,9 +3,11 @@
 Pieces arrive one after another. A fixed number of bins is open; a bitset keyed by free
 space finds the bin with the least free space that still takes a piece; a new bin opens
 only when none does, and when too many are open the fullest closes first. Pieces arrive in
-short runs, the longest of a run first, so that short ones fill what long ones leave. They are
-dealt to tasks by the hash of their key, so no task depends on another, a copied text
-spreads over tasks, and each task leaves only its last open bins partly filled.
+short runs of ``RUN`` pieces, the longest of a run first, so that short ones fill what long
+ones leave; a run of one piece is plain online arrival. Pieces are dealt to tasks by a
+hash of their key and place in the written pieces, so no task depends on another, copies
+(whole rows, too) spread over tasks, and each task leaves only its last open bins partly
+filled.
 
 Defined cases: a null or empty text is one piece, its end id; texts over the length are
 cut in pieces of full length and a rest; repeated rows are packed like any; an empty
@@ -69,6 +71,27 @@ class BestFit:
         return own
 
 
+def runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``size`` rows, the last one smaller, however they came."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        while n + batch.num_rows >= size:
+            held.append(batch.slice(0, size - n))
+            yield joined()
+            batch = batch.slice(size - n)
+            held, n = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if n:
+        yield joined()
+
+
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every whole text, cut at ``capacity`` ids."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -93,15 +116,15 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
-def pack(cut: DataFrame, capacity: int, open_bins: int = OPEN_BINS, per_task: int = PIECES_PER_TASK) -> DataFrame:
+def pack(cut: DataFrame, capacity: int, open_bins: int = OPEN_BINS, per_task: int = PIECES_PER_TASK, run: int = RUN) -> DataFrame:
     """``cut`` (doc_id, piece, length, ...) with sequence_id and offset.
 
-    The arrival order within a task is that of a hash of the piece's key, so a lost
-    task gives the same bins again.
+    The arrival order within a task is that of a hash of the piece's key and its place in
+    the written table, so a lost task gives the same bins again.
     """
     held = written(cut, "pieces")
     tasks = max(1, -(-held.count() // per_task))
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
     dealt = held.withColumn("_key", key).repartition(tasks, "_key").sortWithinPartitions("_key", "doc_id", "piece", "length")
     names = held.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", sequence_id long, offset long"
@@ -110,10 +133,10 @@ def pack(cut: DataFrame, capacity: int, open_bins: int = OPEN_BINS, per_task: in
         from pyspark import TaskContext
 
         bins, high = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in runs(batches, run):
             lengths = batch.column("length").to_numpy()
-            order = np.concatenate([np.zeros(0, np.int64), *(k + np.argsort(-lengths[k : k + RUN], kind="stable") for k in range(0, len(lengths), RUN))])
-            placed = np.array([bins.place(n) for n in lengths[order].tolist()], np.int64).reshape(-1, 2)
+            order = np.argsort(-lengths, kind="stable")
+            placed = np.array([bins.place(n) for n in lengths[order].tolist()], np.int64)
             own = batch.take(pa.array(order))
             yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(high + placed[:, 0]), pa.array(placed[:, 1].copy())], [*names, "sequence_id", "offset"])
 

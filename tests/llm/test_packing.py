@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from strandloom.llm.bestfit_pack import BestFit, pack_documents
+from strandloom.llm.bestfit_pack import BestFit, pack, pack_documents, runs
 from strandloom.llm._bpe import vocabulary
 
 
@@ -60,3 +61,29 @@ def test_every_piece_is_placed_once(spark, odd_docs):
 
 def test_no_documents(no_docs):
     assert pack_documents(no_docs, vocabulary("word_bpe_49k.json")).collect() == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=12), st.integers(1, 7))
+def test_runs_do_not_depend_on_batches(sizes, size):
+    rows = list(range(sum(sizes)))
+    ends = np.cumsum([0, *sizes])
+    batches = [pa.record_batch({"x": pa.array(rows[a:b], pa.int64())}) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    assert [b.column("x").to_pylist() for b in runs(iter(batches), size)] == [rows[k : k + size] for k in range(0, len(rows), size)]
+
+
+def test_equal_rows_spread_over_tasks_and_bins_fill(spark):
+    rows = [(None, 0, 0, 700, 5)] * 3000 + [(k, 0, 0, 100 + k % 900, k) for k in range(3000)]
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = pack(cut, 1000, 16, per_task=1500, run=64).collect()
+    assert len(out) == len(rows)
+    tasks = {}
+    for r in out:
+        tasks.setdefault(r.sequence_id >> 40, []).append(r.doc_id is None)
+    assert len(tasks) == 4 and all(300 < sum(x) < 1200 for x in tasks.values())
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by.values():
+        assert [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()]
+        assert sum(n for _, n in own) <= 1000
