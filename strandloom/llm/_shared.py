@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandloom.tables import shared_dir, written
+from strandloom.tables import new_path, shared_dir, written
 
-__all__ = ["fold", "raw", "shared_dir", "slices", "texts_of", "written"]
+__all__ = ["fold", "new_path", "raw", "shared_dir", "slices", "texts_of", "written"]
 
 
 def fold(doc_id: Column | str, n: int) -> Column:

@@ -75,7 +75,7 @@ def test_a_vocabulary_of_another_kind_is_left_to_the_library(tmp_path):
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=900))
 def test_elias_fano_selects_what_was_put_in(gaps):
     values = np.cumsum(gaps)
-    made = ef_tokens.EliasFano.from_bytes(memoryview(ef_tokens.EliasFano.of(values).to_bytes()))
+    made = ef_tokens.EliasFano.from_bytes(ef_tokens.EliasFano.of(values).to_bytes())
     assert made.all().tolist() == values.tolist()
     for i in {0, len(values) - 1, len(values) // 2, *range(0, len(values), 97)}:
         assert made.select(i) == values[i]
@@ -88,10 +88,36 @@ def test_elias_fano_is_small():
 
 def test_segment_random_access():
     ids = np.arange(10, dtype=np.uint16)
-    s = ef_tokens.Segment(ef_tokens.encode_segment(np.array([5, 9]), np.array([4, 10]), ids, False))
-    assert s.document(0).tolist() == [0, 1, 2, 3] and s.document(1).tolist() == [4, 5, 6, 7, 8, 9]
+    s = ef_tokens.Segment.of_bytes(ef_tokens.encode_segment(np.array([0, -(1 << 63), (1 << 63) - 1]), 1, np.array([1, 4, 10]), ids, False))
+    assert s.doc_ids() == [None, -(1 << 63), (1 << 63) - 1]
+    assert s.document(0).tolist() == [0] and s.document(1).tolist() == [1, 2, 3] and s.document(2).tolist() == [4, 5, 6, 7, 8, 9]
+    assert [x.tolist() for x in s.with_id((1 << 63) - 1)] == [[4, 5, 6, 7, 8, 9]] and s.with_id(7) == []
     with pytest.raises(ValueError, match="no token segment"):
-        ef_tokens.Segment(b"\0" * 64)
+        ef_tokens.Segment.of_bytes(b"\0" * 96)
+
+
+def test_one_document_is_read_from_its_place(spark, odd_docs):
+    manifest = ef_tokens.write_segments(odd_docs, vocabulary(NAMES[0]), 2, segment_tokens=100)
+    _, plain = _pair(NAMES[0])
+    texts = {}
+    for r in odd_docs.collect():
+        texts.setdefault(r.doc_id, []).append(r.text or "")
+    for doc_id in (1, 2, 6):
+        want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts[doc_id]]
+        assert [x.tolist() for x in ef_tokens.read_document(manifest, doc_id)] == want
+    assert ef_tokens.read_document(manifest, 77) == []
+    names = {r.path.rpartition("/")[2] for r in manifest.collect()}
+    assert len(names) == manifest.count() > 1 and not any(n.startswith("_") for n in names)
+
+
+def test_a_third_of_equal_rows_is_cut_between(spark, monkeypatch):
+    monkeypatch.setattr(ef_tokens, "PART_BYTES", 4000)
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one and the same' ELSE concat('text ', id) END AS text")
+    manifest = ef_tokens.write_segments(docs, vocabulary(NAMES[0]), 2)
+    assert manifest.agg({"documents": "max"}).first()[0] < 900
+    rows = ef_tokens.read_segments(manifest).orderBy("start").collect()
+    assert len(rows) == 3000 and [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=lambda x: -1 if x is None else x)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
 
 
 def test_round_trip_is_that_of_direct_encoding(spark, odd_docs):
