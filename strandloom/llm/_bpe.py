@@ -40,7 +40,7 @@ _WORD_KIND = (
 #: Pieces with characters from here on are left to the library as they are.
 _LATIN_END = chr(0x250)
 #: Pieces that an encoder remembers, about 200 bytes each.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 500_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -68,6 +68,7 @@ class PieceEncoder:
         self.whole = kind not in (_BYTE_KIND, _WORD_KIND) or not plain or stated["truncation"] is not None or stated["padding"] is not None
         #: finds a piece with a special token, which goes to the library
         own = [re.escape(t["content"]) for t in added if not (special_as_text and t["special"])]
+        self.letters_only = not any(t["content"].isalpha() for t in added)
         self.special = re.compile("|".join(own)).search if own else (lambda piece: None)
         self.split = regex.compile(_WORD_SPLIT if self.lower else _BYTE_SPLIT).findall
         self.letters = _byte_letters()
@@ -116,6 +117,41 @@ class PieceEncoder:
                 ids += self.ids[self.ends[k] : self.ends[k + 1]]
         return self._add(piece, ids)
 
+    def _learn_all(self, keys: list[str], slots: list[int | None]) -> None:
+        """Fills the empty slots; pieces of letters, and those with a full stop or comma, without a call for each step."""
+        known, ends, ids = self.known, self.ends, self.ids
+        tokenize, extend, closed = self.model.tokenize, ids.extend, ends.append
+        lower, marks, letters, letters_only, normal = self.lower, self.marks, self.letters, self.letters_only, unicodedata.normalize
+        n = len(ends) - 1
+        for k, found in enumerate(slots):
+            if found is not None:
+                continue
+            piece = keys[k]
+            if letters_only:
+                body = piece[1:] if piece[:1] == " " else piece
+                mark = marks.get(body[-1:])
+                word = body if mark is None else body[:-1]
+                if word.isascii():
+                    if lower:
+                        word = word.lower()
+                elif max(word) < _LATIN_END:
+                    if lower:
+                        word = normal("NFC", word).lower()
+                else:
+                    word = ""
+                if word.isalpha():
+                    if not word.isascii():
+                        word = word.encode().decode("latin-1").translate(letters)
+                    extend([t.id for t in tokenize(word if lower or body is piece else "\u0120" + word)])
+                    if mark is not None:
+                        extend(mark)
+                    slots[k] = known[piece] = n
+                    n += 1
+                    closed(len(ids))
+                    continue
+            slots[k] = self._learn(piece)
+            n = len(ends) - 1
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, null as empty, each text's ids ended by ``end_id``."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -143,9 +179,7 @@ class PieceEncoder:
         seen = np.flatnonzero(np.bincount(pair, minlength=2 * len(names)))
         keys = [" " + names[k >> 1] if k & 1 else names[k >> 1] for k in seen.tolist()]
         slots = list(map(self.known.get, keys))
-        for k, found in enumerate(slots):
-            if found is None:
-                slots[k] = self._learn(keys[k])
+        self._learn_all(keys, slots)
         slot = np.zeros(2 * len(names), np.int64)
         slot[seen] = slots
         at = slot[pair]
