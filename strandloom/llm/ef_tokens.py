@@ -14,8 +14,7 @@ files of the attempts that counted, so retried or lost tasks leave no part of a
 Files go through Arrow's file systems (local and mounted paths, hdfs, s3, gs, abfs).
 
 Defined cases: null and empty texts are their end id alone; null ids come first;
-repeated ids are in order of their text's hash, repeated rows in any; a text of any
-length lies in one segment; an empty table gives an empty result; extra columns are
+repeated ids are in any order; a text of any length lies in one segment; an empty table gives an empty result; extra columns are
 ignored.
 """
 
@@ -36,7 +35,7 @@ from strandloom.llm._shared import new_path, slices, written
 MAGIC = b"SLEF0002"
 SAMPLE = 64
 SEGMENT_TOKENS = 1 << 21
-#: Bytes of ids that a task sorts and writes, until there are PARTS_MOST tasks.
+#: Bytes of texts whose ids a task sorts and writes, until there are PARTS_MOST tasks.
 PART_BYTES = 16 << 20
 PARTS_MOST = 20_000
 CACHE_PIECES = 700_000
@@ -180,34 +179,69 @@ def open_segment(path: str) -> Segment:
     return Segment(lambda start, size: file.read_at(size, start))
 
 
-def token_ids(docs: DataFrame, vocabulary: str, end_id: int, special_as_text: bool = False) -> DataFrame:
-    """doc_id, tie, tokens, wide, ids of every whole text, encoded where it lies."""
-    schema = "doc_id long, tie long, tokens long, wide boolean, ids binary"
+class Ranges:
+    """Ranges of doc_id of about equal rows, from ``cuts`` (quantiles of the known ids, in order).
+
+    Rows without an id come first, over ``null_parts`` ranges. An id that stands at several
+    cuts, as one that a third of the rows have, spreads over the ranges between them.
+    """
+
+    def __init__(self, cuts: list[int], null_parts: int):
+        self.cuts, self.null_parts = np.array(cuts, np.int64), null_parts
+        self.parts = null_parts + len(cuts) + 1
+
+    def of(self, doc_ids: pa.Array, spread: np.ndarray) -> np.ndarray:
+        """The range of each row; ``spread``: any non-negative number of the row."""
+        ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+        low, high = np.searchsorted(self.cuts, ids, "left"), np.searchsorted(self.cuts, ids, "right")
+        part = self.null_parts + low + spread % (high - low + 1)
+        if doc_ids.null_count:
+            null = doc_ids.is_null().to_numpy(zero_copy_only=False)
+            part[null] = spread[null] % self.null_parts
+        return part
+
+
+def ranges(docs: DataFrame) -> Ranges:
+    """Ranges of about PART_BYTES of text each: one pass over the sizes, one over the ids."""
+    rows, known, size = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.sum(F.octet_length("text"))).first()
+    parts = max(1, min(-(-(size or 0) // PART_BYTES), PARTS_MOST))
+    null_parts = -(-(rows - known) * parts // rows) if rows else 0
+    cuts: list[int] = []
+    if known and parts > 1:
+        own = max(1, parts - null_parts)
+        share = F.lit([k / own for k in range(1, own)])
+        cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), share, max(10_000, 20 * own))).first()[0] if own > 1 else []
+    return Ranges(sorted(cuts), null_parts)
+
+
+def token_ids(docs: DataFrame, vocabulary: str, end_id: int, into: Ranges, special_as_text: bool = False) -> DataFrame:
+    """part, doc_id, tokens, wide, ids of every whole text, encoded where it lies."""
+    schema = "part int, doc_id long, tokens long, wide boolean, ids binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary, end_id, CACHE_PIECES, special_as_text)
         wide = own.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 or end_id >= 1 << 16
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                ids, at = own.encode(part.column("text"))
+            for some in slices(batch, "text", 8 << 20):
+                ids, at = own.encode(some.column("text"))
                 body = ids.astype("<u4" if wide else "<u2").tobytes()
-                sizes = np.diff(at)
                 places = at * (4 if wide else 2)
                 cells = [body[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("tie"), pa.array(sizes, pa.int64()), pa.array([wide] * len(cells)), pa.array(cells, pa.binary())], schema.replace(",", "").split()[::2])
+                doc_ids = some.column("doc_id").cast(pa.int64())
+                part = into.of(doc_ids, some.column("spread").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_ids, pa.array(np.diff(at), pa.int64()), pa.array([wide] * len(cells)), pa.array(cells, pa.binary())], schema.replace(",", "").split()[::2])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(encode, schema)
+    place = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << 62) - 1).alias("spread")
+    return docs.select("doc_id", "text", place).mapInArrow(encode, schema)
 
 
 def write_segments(docs: DataFrame, vocabulary: str, end_id: int, segment_tokens: int = SEGMENT_TOKENS, special_as_text: bool = False) -> DataFrame:
     """Writes the files; gives their manifest: part, segment, path, documents, tokens, first_id, last_id."""
     spark = docs.sparkSession
-    coded = written(token_ids(docs, vocabulary, end_id, special_as_text), "token-ids")
-    size = coded.agg(F.sum(F.col("tokens") * F.when(F.col("wide"), 4).otherwise(2))).first()[0] or 0
-    parts = max(1, min(-(-size // PART_BYTES), PARTS_MOST))
-    keys = (F.col("doc_id").asc_nulls_first(), F.col("tie").asc_nulls_first(), F.col("row"))
-    # repeated rows, too, are cut between
-    ordered = coded.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    into = ranges(docs)
+    coded = token_ids(docs, vocabulary, end_id, into, special_as_text)
+    # a range is one partition, by its number
+    ordered = coded.repartitionById(into.parts, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_path(spark, "token-files"))
     folder = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
     system, at = _opened(folder)
