@@ -1,11 +1,12 @@
 """Sharding along a Hilbert curve (DataFrame functions only on the main path).
 
-Metadata columns are quantised to a few bits each, their cell's index on a Hilbert
-curve orders the rows, and runs of equal bytes are cut from that order, so each shard
-spans a small box of the metadata and readers can skip files on any of them.
+Metadata columns are quantised to a few bits each in their own order, so that the cells
+of a column hold about equal bytes; their cell's index on a Hilbert curve orders the
+rows, and runs of equal bytes are cut from that order. So each shard spans a small box of
+the metadata and readers can skip files, by least and greatest value, on any of them.
 
 Defined cases: a null text has size 1 (no bytes plus 1) and crc32 of the empty text;
-null metadata fall in cell 0; equal rows may swap places; an empty table gives an
+null metadata fall in the first cell; equal rows may swap places; an empty table gives an
 empty result; extra columns are ignored; a shard may stay empty when there are fewer
 rows than shards. Equal texts take the cell of their group (the least lang and source
 among them), lie side by side there, and stay in one shard unless the group is larger
@@ -53,19 +54,36 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     return F.transform(F.array(fixed), gather)[0]
 
 
-def quantised(column: Column, kind: str, bits: int) -> Column:
-    """A column as an integer of ``bits`` bits. kinds: ``log`` (size), ``text`` (first two letters, in order), ``hash``."""
-    top = (1 << bits) - 1
-    if kind == "log":
-        q = F.floor(F.log2(F.greatest(column, F.lit(1)).cast("double")) * top / 40)
-    elif kind == "text":
-        letter = lambda k: F.least(F.greatest(F.coalesce(F.ascii(F.substring(F.lower(column), k, 1)), F.lit(0)) - 96, F.lit(0)), F.lit(27))
-        q = F.floor((letter(1) * 28 + letter(2)) * (top + 1) / (28 * 28))
-    elif kind == "hash":
-        q = F.pmod(F.xxhash64(column), F.lit(top + 1))
-    else:
-        raise ValueError(kind)
-    return F.coalesce(F.least(F.greatest(q.cast("long"), F.lit(0)), F.lit(top)), F.lit(0)).cast("long")
+def cuts(rows: DataFrame, column: str, weight: str, bits: int) -> list[tuple[int, object]]:
+    """(cell, its first value) of the cells of a column, in order; cells hold about equal sums of ``weight``.
+
+    A value's cell follows from the weight of all smaller ones, so that a value with a
+    third of the weight leaves a third of the cells unused behind it and neighbours stay
+    neighbours. Weights are summed by value first; the values are ranked in ranges of
+    bounded size. Only a cell's first value, at most 2 ** bits of them, comes to the driver.
+    """
+    values = written(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.sum(weight).alias("_w")), "shard-values")
+    n, total = values.agg(F.count(F.lit(1)), F.sum("_w")).first()
+    if not n:
+        return []
+    ranged = written(values.repartitionByRange(max(1, -(-n // ROWS_PER_RANGE)), "_v").withColumn("_part", F.spark_partition_id()), "shard-ranks")
+    sums = ranged.groupBy("_part").agg(F.sum("_w").alias("_s"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_part", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_b"))
+    own = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_at", F.coalesce(F.sum("_w").over(own), F.lit(0))).join(F.broadcast(base), "_part")
+    # the middle of a value's own weight: values of one cell each spread evenly over all cells
+    middle = F.col("_at") + F.col("_b") + F.col("_w") / 2
+    cell = F.least(F.floor(middle * (1 << bits) / total), F.lit((1 << bits) - 1)).cast("int")
+    return [(r["_c"], r["_v"]) for r in placed.groupBy(cell.alias("_c")).agg(F.min("_v").alias("_v")).orderBy("_c").collect()]
+
+
+def quantised(column: Column, known: list[tuple[int, object]]) -> Column:
+    """The cell of a column's value by its ``cuts``; nulls are in cell 0."""
+    out = F.lit(0)
+    for cell, first in known:
+        out = F.when(column >= F.lit(first), F.lit(cell)).otherwise(out) if first is not None else out
+    return F.coalesce(F.when(column.isNotNull(), out), F.lit(0)).cast("long")
 
 
 def shard_by_curve(rows: DataFrame, dims: list[Column], bits: int, id_column: str, shards: int) -> DataFrame:
@@ -118,13 +136,14 @@ def shard_by_curve(rows: DataFrame, dims: list[Column], bits: int, id_column: st
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, bits: int = 5) -> DataFrame:
-    """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard, and the metadata of its cell."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text).cast("long") + 1).alias("size")
     rows = written(docs.select("doc_id", size, F.crc32(text).alias("text_crc32"), "lang", "source", F.xxhash64(text).alias("_group")), "shard-input")
     groups = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.min("lang").alias("_lang"), F.min("source").alias("_source")).where("_n > 1").drop("_n")
     # written, so that the join's two sides are plain exchanges and a large group can be split
     rows = rows.join(written(groups, "shard-groups"), "_group", "left").withColumn("lang", F.coalesce("_lang", "lang")).withColumn("source", F.coalesce("_source", "source"))
-    dims = [quantised(F.col("lang"), "text", bits), quantised(F.col("size"), "log", bits), quantised(F.col("source"), "hash", bits)]
-    out = shard_by_curve(rows.drop("_lang", "_source"), dims, bits, "doc_id", shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = written(rows.drop("_lang", "_source"), "shard-metadata")
+    dims = [quantised(F.col(c), cuts(rows, c, "size", bits)) for c in ("lang", "source", "size")]
+    out = shard_by_curve(rows, dims, bits, "doc_id", shards)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "lang", "source")

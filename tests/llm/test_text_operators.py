@@ -188,6 +188,66 @@ def test_a_third_of_the_same_row_is_cut_between(spark, hot):
     assert len(got) == 900 and len(size) == 16 and max(abs(v - mean) for v in size.values()) <= 40
 
 
+def test_all_rows_the_same_fill_all_shards(spark):
+    for row in ((None, None, None, None), (5, "same", "en", "s")):
+        got = H.shard_documents(spark.createDataFrame([row] * 4000, "doc_id long, text string, lang string, source string")).collect()
+        rows = Counter(r.shard for r in got)
+        assert len(got) == 4000 and len(rows) == 16 and max(rows.values()) <= 251
+
+
+def test_cells_hold_equal_weight_in_order(spark):
+    """By brute force: each value's cell from the weight of all smaller ones and half its own."""
+    rng = random.Random(3)
+    weights = {f"v{k}": rng.randrange(1, 50) for k in range(200)} | {"hot": 4000}
+    rows = [(v, 1) for v, w in weights.items() for _ in range(w)] + [(None, 1)] * 30
+    df = spark.createDataFrame(rows, "x string, w int")
+    got = {r.x: r.c for r in df.select("x", H.quantised(F.col("x"), H.cuts(df, "x", "w", 4)).alias("c")).distinct().collect()}
+    total, at = sum(weights.values()), 0
+    for v in sorted(weights):
+        assert got[v] == int((at + weights[v] / 2) * 16 / total), v
+        at += weights[v]
+    assert got[None] == 0
+    assert H.cuts(df.limit(0), "x", "w", 4) == []
+
+
+def test_cut_is_that_of_a_plain_walk(spark):
+    """By brute force: rows in order of cell, group and tie; a group goes where it begins, a large one row by row."""
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(16), rng.choice([k, k, 5000 + k % 40]), rng.randrange(1, 90)) for k in range(900)] + [(k, 3, 7777, 60) for k in range(900, 1200)]
+    rows = [(i, g * 7 % 16 if g >= 5000 else x, g, n) for i, x, g, n in rows]
+    df = spark.createDataFrame(rows, "doc_id long, x long, _group long, size long")
+    got = {r.doc_id: r.shard for r in H.shard_by_curve(df, [F.col("x"), F.col("x") * 0], 4, "doc_id", 8).collect()}
+    keyed = df.select("*", H.hilbert_index([F.col("x"), F.col("x") * 0], 4).alias("c"), F.xxhash64("doc_id", F.lit(7)).alias("t")).collect()
+    total, largest = sum(r["size"] for r in keyed), max(r["size"] for r in keyed)
+    sums, at, first, place = Counter(), 0, {}, {}
+    for r in sorted(keyed, key=lambda r: (r.c, r._group, r.t, r.doc_id)):
+        sums[r._group] += r["size"]
+        first.setdefault(r._group, at)
+        place[r.doc_id] = at
+        at += r["size"]
+    small = lambda g: sums[g] <= max(largest, total // 160)
+    assert got == {r.doc_id: min(7, (first[r._group] if small(r._group) else place[r.doc_id]) * 8 // total) for r in keyed}
+
+
+def test_filters_open_few_shards(spark):
+    """The share of shards whose least and greatest value let in a language, a source or a range of sizes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.col("lang").alias("l"), F.col("source").alias("s"))
+    rows = H.shard_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(docs, "doc_id").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r)
+
+    def opened(key, asked):
+        spans = [(min(key(r) for r in own), max(key(r) for r in own)) for own in by.values()]
+        return sum(low <= b and high >= a for a, b in asked for low, high in spans) / len(asked) / len(by)
+
+    langs, sources = sorted({r.lang for r in rows}), sorted({r.source for r in rows})
+    sizes = sorted(r["size"] for r in rows)
+    assert opened(lambda r: r.lang, [(x, x) for x in langs]) < 0.5
+    assert opened(lambda r: r.source, [(x, x) for x in sources]) < 0.7
+    assert opened(lambda r: r["size"], [(sizes[k], sizes[min(k + 50, len(sizes) - 1)]) for k in range(0, len(sizes), 50)]) < 0.75
+
+
 def test_shard_odd_cases(odd_docs, no_docs):
     rows = H.shard_documents(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.shard < 16 and r.grown_shard is None for r in rows)
