@@ -1,18 +1,30 @@
 """Exact top-k inner products by norm buckets.
 
-Vectors are ordered by length and packed in blocks of similar length (the buckets).
-For a query with k-th best score theta so far, a block of largest length L can hold a
-better vector only if cos >= theta / (|q| L), the block's local threshold: at or over 1
-the block is skipped; a high one calls for coordinate pruning (a vector's largest query
-coordinates must fall in the interval that the threshold allows); a low one for length
-pruning (the block's vectors are in order of length: only a prefix can reach theta).
-What is left is verified by exact integer products.
+Vectors are ordered by length and packed in blocks of similar length (the buckets). For a
+query with k-th best score theta so far, a block of largest length L can hold a better
+vector only if cos >= theta / (|q| L), the block's local threshold. Over 1 the block is
+skipped. Else the threshold says which of two prunings pays for this block and query:
+
+* coordinate pruning: a vector's coordinates, where the query has its largest, must fall
+  in the interval that the threshold allows. The block's sorted coordinates tell how many
+  vectors are left before any is touched; it is chosen when few are.
+* length pruning: the block is in order of length, and only a prefix can reach theta.
+
+What is left is verified by exact integer products. Blocks are dealt over panels in turn
+and every task takes its blocks from the longest on, so theta, which starts from the
+longest SEEDS vectors, rises in each of them. A task holds queries of GROUP_BYTES at most
+and streams blocks; the number of tasks follows from the products to make.
+
+Vectors of one length in random directions (as in a table of random unit vectors) allow
+neither pruning at the low thresholds that their best scores give: all their products are
+made. ``top_k(..., counts=True)`` tells the number.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no
-part; vectors of another dimension than the query's are no candidates; ties go to the
-smaller id; a query's own row (its id) is no candidate, other rows with an equal vector
-are; a query with fewer candidates returns all; scores saturate at 64 bits; an empty
-table gives an empty result; extra columns are ignored.
+part, nor do null ids; vectors of another dimension than the query's are no candidates;
+ties go to the smaller id; a query's own row is no candidate, other rows are, also those
+of its id or its vector; repeated query rows have a list each; a query with fewer
+candidates returns all; scores saturate at 64 bits; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +39,18 @@ from pyspark.sql import functions as F
 from strandloom.llm._shared import written
 
 BLOCK = 4096
+BLOCK_BYTES = 8 << 20
 QUERY_BLOCK = 512
+#: Products of a block of queries with a block of vectors that one task makes, about.
+PAIRS_PER_TASK = 64
+GROUP_BYTES = 64 << 20
 SEEDS = 1024
-PANELS = 64
-COORDINATE_FROM = 0.8
+#: Coordinates of a query that are looked at, and the share of a block's vectors that must be left for it to pay.
+FOCUS = 3
+COORDINATE_SHARE = 0.125
 _EXACT = float(1 << 53)
-_BLOCK_SCHEMA = "panel int, dim int, largest double, ids binary, rows binary"
-_QUERY_SCHEMA = "dim int, need double, qids binary, qrows binary, theta binary"
+_NONE = -(1 << 63)
+_SCHEMA = "kind int, panel int, dim int, largest double, ids binary, keys binary, rows binary, theta binary"
 
 
 def quantise(embedding: Column, scale: int = 1024) -> Column:
@@ -49,40 +66,41 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes
 
 
-def _blocks(size: int, queries: bool):
-    """Packs the rows of a partition, in order, into blocks of one dimension."""
+def _blocks(size: int, queries: bool, seeds: dict | None = None, k: int = 0, panels: int = 1):
+    """Packs the rows of a partition, in order, into blocks of one dimension.
+
+    Blocks of vectors get panels in turn; blocks of queries get the k-th best score among the seeds.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: dict[int, list] = {}
+        number = TaskContext.get().partitionId()
 
         def block(dim: int) -> pa.RecordBatch:
-            ids, rows, extra = held.pop(dim)
-            m = np.concatenate(rows)
-            norms = np.sqrt((m.astype(np.float64) ** 2).sum(1))
-            i = np.concatenate(ids)
-            if queries:
-                theta = np.concatenate(extra)
-                need = np.where(norms > 0, theta / np.maximum(norms, 1e-300), -np.inf)
-                need = np.where((norms == 0) & (theta > 0), np.inf, need)
-                values = [[dim], [float(need.min())], [i.tobytes()], [m.tobytes()], [theta.tobytes()]]
-                return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["dim", "need", "qids", "qrows", "theta"])
-            values = [[extra[0]], [dim], [float(norms.max())], [i.tobytes()], [m.tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["panel", "dim", "largest", "ids", "rows"])
+            nonlocal number
+            ids, keys, rows = (np.concatenate(x) for x in held.pop(dim))
+            norms = np.sqrt((rows.astype(np.float64) ** 2).sum(1))
+            theta = first_scores(rows, keys, seeds.get(dim), k).tobytes() if queries else None
+            number += 1
+            values = [[0 if queries else 1], [number % panels], [dim], [float(norms.max())], [ids.tobytes()], [keys.tobytes()], [rows.tobytes()], [theta]]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], _SCHEMA.replace(",", "").split()[::2])
 
         for batch in batches:
             values, sizes = _matrix(batch.column("v"))
-            ids = batch.column("id").to_numpy()
-            extra = batch.column("theta").to_numpy(zero_copy_only=False) if queries else batch.column("panel").to_numpy()
+            ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
             at = np.concatenate(([0], np.cumsum(sizes)))
             for dim in np.unique(sizes).tolist():
                 pick = np.flatnonzero(sizes == dim)
                 rows = values[(at[pick][:, None] + np.arange(dim)).ravel()].reshape(len(pick), dim)
+                most = max(1, min(size, BLOCK_BYTES // (8 * dim)))
                 while len(pick):
                     own = held.setdefault(dim, [[], [], []])
-                    room = size - sum(map(len, own[0]))
-                    own[0].append(ids[pick[:room]])
-                    own[1].append(rows[:room])
-                    own[2].append(extra[pick[:room]]) if queries else own[2].append(int(extra[pick[0]]))
+                    room = most - sum(map(len, own[0]))
+                    for x, part in zip(own, (ids[pick[:room]], keys[pick[:room]], rows[:room]), strict=True):
+                        x.append(part)
                     full = len(pick) >= room
                     pick, rows = pick[room:], rows[room:]
                     if full:
@@ -93,6 +111,15 @@ def _blocks(size: int, queries: bool):
     return pack
 
 
+def first_scores(q: np.ndarray, keys: np.ndarray, seeds: tuple | None, k: int) -> np.ndarray:
+    """Each query's k-th best score among the seeds (its own row left out), or the least number."""
+    if seeds is None or len(seeds[0]) <= k:
+        return np.full(len(q), _NONE)
+    scores = products(q, seeds[1])
+    scores[keys[:, None] == seeds[0]] = _NONE
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
 def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Exact integer products of all rows of ``q`` with all of ``rows``, saturated at 64 bits."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, q.shape[1])
@@ -105,114 +132,164 @@ def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array([[min(max(int(x), low), high) for x in r] for r in exact], np.int64).reshape(len(q), len(rows))
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best scores, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= edge)
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
-
-
-def search_block(qids, q, theta, ids, rows, k: int, coordinate_from: float = COORDINATE_FROM):
-    """(query ids, ids, scores) of each query's k best of a block that reach its theta."""
-    norms = np.sqrt((rows.astype(np.float64) ** 2).sum(1))
-    order = np.argsort(-norms, kind="stable")
-    norms, rows, ids = norms[order], rows[order], ids[order]
-    qn = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-    largest = norms[0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        local = theta / (qn * largest)
-    local = np.where(theta > 0, np.where(qn * largest > 0, local, np.inf), -1.0)
-    out = []
-
-    def take(j: int, scores: np.ndarray, own: np.ndarray) -> None:
-        ok = (scores >= theta[j]) & (own != qids[j])
-        scores, own = scores[ok], own[ok]
-        top = best(scores, own, k)
-        if len(top):
-            out.append((np.full(len(top), qids[j]), own[top], scores[top]))
-
-    slack = 1e-9
-    by_length = np.flatnonzero(local < coordinate_from)
-    if len(by_length):
-        # length pruning: the prefix that the least demanding of these queries needs, then exact products
-        reach = np.where(theta[by_length] > 0, theta[by_length] / np.maximum(qn[by_length], 1e-300), -1.0)
-        n = int(np.searchsorted(-norms, -(reach.min() * (1 - slack)), side="right")) if reach.min() > 0 else len(norms)
-        scores = products(q[by_length], rows[:n])
-        for a, j in enumerate(by_length.tolist()):
-            take(j, scores[a], ids[:n])
-    unit = None
-    for j in np.flatnonzero((local >= coordinate_from) & (local <= 1 + slack)).tolist():
-        # coordinate pruning on the query's two largest coordinates
-        n = int(np.searchsorted(-norms, -(theta[j] / qn[j] * (1 - slack)), side="right"))
-        if unit is None:
-            unit = rows / np.maximum(norms, 1e-300)[:, None]
-        keep = np.arange(n)
-        t, direction = min(1.0, local[j]), q[j] / qn[j]
-        for f in np.argsort(-np.abs(direction))[:2]:
-            c = direction[f]
+class Block:
+    """Vectors of one dimension in order of length, with their unit coordinates sorted where asked for."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, rows: np.ndarray):
+        norms = np.sqrt((rows.astype(np.float64) ** 2).sum(1))
+        order = np.argsort(-norms, kind="stable")
+        self.ids, self.keys, self.rows, self.norms = ids[order], keys[order], rows[order], norms[order]
+        self._sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def coordinate(self, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, values) of unit coordinate f in rising order."""
+        if f not in self._sorted:
+            unit = self.rows[:, f] / np.maximum(self.norms, 1e-300)
+            order = np.argsort(unit, kind="stable")
+            self._sorted[f] = (order, unit[order])
+        return self._sorted[f]
+
+    def feasible(self, direction: np.ndarray, t: float, limit: float) -> np.ndarray | None:
+        """Places of the vectors that may have cos >= t with a unit vector, by its largest coordinates; None if over ``limit``."""
+        best: tuple | None = None
+        spans = []
+        for f in np.argsort(-np.abs(direction))[:FOCUS].tolist():
+            c = float(direction[f])
             spread = np.sqrt(max(0.0, 1 - t * t)) * np.sqrt(max(0.0, 1 - c * c)) + 1e-7
             low = t * c - spread if c > -t else -1.0
             high = t * c + spread if c < t else 1.0
-            u = unit[keep, f]
-            keep = keep[(u >= low) & (u <= high)]
-        take(j, products(q[j : j + 1], rows[keep])[0], ids[keep])
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            if high - low > 1:
+                continue  # too wide to be worth a sorted list
+            order, values = self.coordinate(f)
+            s, e = np.searchsorted(values, low, "left"), np.searchsorted(values, high, "right")
+            spans.append((order, s, e))
+            if best is None or e - s < best[2] - best[1]:
+                best = spans[-1]
+        if best is None:
+            return None
+        keep = best[0][best[1] : best[2]]
+        for order, s, e in spans:
+            if order is not best[0] and len(keep):
+                inside = np.zeros(len(self.ids), bool)
+                inside[order[s:e]] = True
+                keep = keep[inside[keep]]
+        return np.sort(keep) if len(keep) <= limit else None
+
+
+class Asked:
+    """A block of queries with their k best so far."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, q: np.ndarray, theta: np.ndarray, k: int):
+        self.ids, self.keys, self.q, self.k = ids, keys, q, k
+        self.theta = theta.copy()
+        self.length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+        self.who, self.score, self.vec = (np.zeros(0, np.int64) for _ in range(3))
+        self.verified = np.zeros(len(ids), np.int64)
+
+    def _take(self, asks: np.ndarray, scores: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id) of the entries of a product table that may be among the k best."""
+        self.verified[asks] += scores.shape[1]
+        least = self.theta[asks]
+        if scores.shape[1] > self.k + 1:
+            # one more than k, as a query's own row may be among them
+            least = np.maximum(least, np.partition(scores, scores.shape[1] - self.k - 1, axis=1)[:, scores.shape[1] - self.k - 1])
+        a, i = np.nonzero(scores >= least[:, None])
+        other = self.keys[asks[a]] != keys[i]
+        a, i = a[other], i[other]
+        return asks[a], scores[a, i], ids[i]
+
+    def meet(self, block: Block) -> None:
+        """Takes in what a block holds above each query's local threshold."""
+        slack = 1e-9
+        with np.errstate(divide="ignore", invalid="ignore"):
+            reach = np.where(self.theta > 0, self.theta / np.maximum(self.length, 1e-300), -1.0)
+            local = np.where(self.theta > 0, reach / block.norms[0] if block.norms[0] > 0 else np.inf, -1.0)
+        got = []
+        by_length = []
+        for j in np.flatnonzero(local <= 1 + slack).tolist():
+            keep = None
+            if local[j] > 0:
+                n = int(np.searchsorted(-block.norms, -(reach[j] * (1 - slack)), side="right"))
+                keep = block.feasible(self.q[j] / self.length[j], min(1.0, float(local[j]) * (1 - slack)), COORDINATE_SHARE * n)
+            if keep is None:
+                by_length.append(j)
+            elif len(keep := keep[keep < n]):
+                got.append(self._take(np.array([j]), products(self.q[j : j + 1], block.rows[keep]), block.ids[keep], block.keys[keep]))
+        if by_length:
+            own = np.array(by_length)
+            least = reach[own].min()
+            n = int(np.searchsorted(-block.norms, -(least * (1 - slack)), side="right")) if least > 0 else len(block.ids)
+            if n:
+                got.append(self._take(own, products(self.q[own], block.rows[:n]), block.ids[:n], block.keys[:n]))
+        if got:
+            who, score, vec = (np.concatenate(x) for x in zip(*got, (self.who, self.score, self.vec), strict=True))
+            order = np.lexsort((vec, -score, who))
+            who, score, vec = who[order], score[order], vec[order]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            last = rank == self.k - 1
+            self.theta[who[last]] = np.maximum(self.theta[who[last]], score[last])
+            self.who, self.score, self.vec = (x[rank < self.k] for x in (who, score, vec))
 
 
 def _search(k: int):
+    names = ["query_key", "query_id", "vec_id", "score", "verified"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, list[Asked]] = {}
         for batch in batches:
-            for dim, ids, rows, qids, qrows, theta in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "rows", "qids", "qrows", "theta")), strict=True):
-                i, qi = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
+            for kind, dim, ids, keys, rows, theta in zip(*(batch.column(c).to_pylist() for c in ("kind", "dim", "ids", "keys", "rows", "theta")), strict=True):
+                i, own = np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64)
                 r = np.frombuffer(rows, np.int64).reshape(len(i), dim)
-                q = np.frombuffer(qrows, np.int64).reshape(len(qi), dim)
-                found = search_block(qi, q, np.frombuffer(theta, np.float64), i, r, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
+                if kind == 0:
+                    asked.setdefault(dim, []).append(Asked(i, own, r, np.frombuffer(theta, np.int64), k))
+                elif dim in asked:
+                    block = Block(i, own, r)
+                    for a in asked[dim]:
+                        a.meet(block)
+        for a in (a for some in asked.values() for a in some):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.keys[a.who], a.ids[a.who], a.vec, a.score, a.verified[a.who])], names)
 
     return run
 
 
-def top_k(vectors: DataFrame, id_column: str, vector_column: str, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: each query row's k best of all other rows."""
+def top_k(vectors: DataFrame, id_column: str, vector_column: str, is_query: Column, k: int = 10, scale: int = 1024, counts: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: each query row's k best of all other rows.
+
+    counts: with verified, the products that were made for the query.
+    """
+    spark = vectors.sparkSession
     base = vectors.select(F.col(id_column).cast("long").alias("id"), is_query.alias("asks"), quantise(F.col(vector_column), scale).alias("v"))
     base = base.where(F.col("v").isNotNull() & (F.size("v") > 0) & F.col("id").isNotNull())
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    held = written(base.withColumn("norm", norm), "search-rows")
-    n = held.count()
-    panels = max(1, min(PANELS, -(-n // BLOCK)), n // 2_000_000)
-    ranged = held.select("id", "v", "norm").repartitionByRange(panels, F.col("norm").desc(), "id").sortWithinPartitions(F.col("norm").desc(), "id")
-    blocks = written(ranged.select("id", "v", F.spark_partition_id().alias("panel")).mapInArrow(_blocks(BLOCK, False), _BLOCK_SCHEMA), "search-blocks")
+    # a row's key is fixed by being written
+    held = written(base.withColumn("norm", norm).withColumn("key", F.monotonically_increasing_id()), "search-rows")
+    n, queries, query_bytes = held.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1)), F.sum(F.when(F.col("asks"), F.size("v") * F.lit(8).cast("long")))).first()
+    blocks_of, query_blocks = -(-n // BLOCK), -(-queries // QUERY_BLOCK)
+    groups = max(1, -(-(query_bytes or 0) // GROUP_BYTES))
+    panels = max(1, min(blocks_of, max(spark.sparkContext.defaultParallelism, -(-blocks_of * query_blocks // (PAIRS_PER_TASK * groups)))))
+    longest = (F.col("norm").desc(), F.col("key"))
+    ranged = held.repartitionByRange(max(1, -(-blocks_of // 8)), *longest).sortWithinPartitions(*longest)
+    packed = ranged.select("id", "key", "v").mapInArrow(_blocks(BLOCK, False, panels=panels), _SCHEMA)
 
     # the longest vectors, of a fixed number, give each query a first k-th best score
-    longest = held.orderBy(F.col("norm").desc(), "id").limit(SEEDS).select("id", "v").collect()
     seeds: dict[int, tuple] = {}
-    for dim in {len(r["v"]) for r in longest}:
-        own = [r for r in longest if len(r["v"]) == dim]
-        seeds[dim] = (np.array([r["id"] for r in own], np.int64), np.array([r["v"] for r in own], np.int64))
-
-    def first_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            theta = []
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                ids, rows = seeds.get(len(v), (None, None))
-                low = -np.inf
-                if ids is not None:
-                    s = products(np.array([v], np.int64), rows)[0][ids != i]
-                    if len(s) >= k:
-                        low = float(np.partition(s, len(s) - k)[len(s) - k])
-                theta.append(low * (1 - 1e-12) if low > 0 else -np.inf)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(theta, pa.float64())], ["id", "v", "theta"])
-
-    asks = held.where("asks").select("id", "v").mapInArrow(first_scores, "id long, v array<bigint>, theta double")
-    asks = written(asks.mapInArrow(_blocks(QUERY_BLOCK, True), _QUERY_SCHEMA), "search-queries")
-    # each block of queries meets every panel once; whole blocks that cannot hold a better vector are left out
-    sent = asks.withColumn("panel", F.explode(F.sequence(F.lit(0), F.lit(panels - 1))))
-    pairs = blocks.join(sent.hint("shuffle_hash"), ["panel", "dim"]).where(F.col("largest") >= F.col("need") * (1 - 1e-9))
-    found = pairs.select("dim", "ids", "rows", "qids", "qrows", "theta").mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    for dim, own in _by_dim(held.orderBy(*longest).limit(SEEDS).select("key", "v").collect()).items():
+        seeds[dim] = (np.array([r["key"] for r in own], np.int64), np.array([r["v"] for r in own], np.int64))
+    asks = held.where("asks").select("id", "key", "v").mapInArrow(_blocks(QUERY_BLOCK, True, seeds, k), _SCHEMA)
+
+    # blocks of queries go to every panel of their group, blocks of vectors to every group of their panel
+    asks = asks.withColumn("group", F.pmod(F.xxhash64("keys"), F.lit(groups)).cast("int")).withColumn("panel", F.explode(F.sequence(F.lit(0), F.lit(panels - 1))))
+    packed = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = asks.unionByName(packed).repartitionById(panels * groups, (F.col("panel") * groups + F.col("group")).cast("int"))
+    dealt = dealt.sortWithinPartitions("panel", "group", "kind", F.col("largest").desc())
+    found = dealt.select("kind", "dim", "ids", "keys", "rows", "theta").mapInArrow(_search(k), "query_key long, query_id long, vec_id long, score long, verified long")
+    order = Window.partitionBy("query_key").orderBy(F.col("score").desc(), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", *(["verified"] if counts else []))
+
+
+def _by_dim(rows: list) -> dict[int, list]:
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(len(r["v"]), []).append(r)
+    return out
