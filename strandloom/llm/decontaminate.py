@@ -1,22 +1,28 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
-
-1. Every word n-gram of an item is a seed, so each stretch that keeps ``NGRAM`` words in
-   a row holds one, however common the passage is in the corpus and wherever else its
-   words are changed.
-2. A training text meets an item where it holds one of its seeds; nearby hits join to
-   passages.
-3. The passage's words are aligned with the item's (match +2, mismatch -1, gap -1). A
-   text is contaminated by an item when the score reaches that of half of the item's
-   words, or of ``ENOUGH`` words for long items.
-
-Benchmark items are held by every task in blocks of ``BLOCK_WORDS`` words; a larger
-benchmark takes more rounds over the documents. The documents are never shuffled.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+
+1. Every word n-gram of the benchmark is counted over the whole corpus, with a 64-bit
+   sketch of how many different surroundings (word before and after) it is seen in. So a
+   passage that a third of the documents copy stays rare: it has few surroundings.
+2. An item's seeds are the rarest third of its n-grams that occur at all, by surroundings,
+   ties by hash. One hit of a seed joins a text to the item. Its other n-grams join them by
+   two hits on nearly one diagonal, but for those of the language (``COMMON`` sketch bits
+   or more), which join nothing. So common phrases start no alignment, and a copy whose
+   seeds are all broken by edits is still found by what it keeps.
+3. The passages around those hits are aligned with the item's words (match +2, mismatch
+   -1, gap -1). A text is contaminated by an item when the score reaches that of half of
+   the item's words, or of ``ENOUGH`` words for long items.
+
+Out of reach are copies that keep no three words in a row, or one such n-gram only that is
+no seed. Texts are known by a 128-bit hash: equal ones are one row until the end. Seeds
+and hits meet in a join by n-gram, whatever the benchmark's size, in two passes over the
+documents; texts that join an item are read once more. Tasks hold a Bloom filter of the
+benchmark's n-grams of FILTER_MOST bits at most and never the benchmark.
 
 Defined cases: null and empty texts are clean, as is everything against an empty
-benchmark; items without words are skipped; items of fewer words than an n-gram have
-all their words as one seed and must be there whole; equal items each give a row;
-texts of any length are read whole; repeated rows give repeated rows; extra columns
-are ignored.
+benchmark; items without words or without an id are skipped; items of fewer words than
+an n-gram have all their words as one seed and must be there whole; equal items each
+give a row; texts of any length are read whole; repeated rows give repeated rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,67 +32,146 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm import _words
-from strandloom.llm._shared import slices, texts_of
+from strandloom.llm._shared import slices, texts_of, written
 
 NGRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 SHARE = 0.5
 ENOUGH = 40
-BLOCK_WORDS = 2_000_000
-FILTER_BITS = 22
+#: The share of an item's n-grams that are seeds, and how many sketch bits make an n-gram common.
+RARE = 3
+COMMON = 24
+FILTER_LEAST, FILTER_MOST = 22, 27
+#: Keys of texts up to which a join may broadcast them (two longs each).
+BROADCAST_ROWS = 1_000_000
+_SHORT = {m: np.uint64(0x9E3779B97F4A7C15 * m % (1 << 64)) for m in range(1, NGRAM)}
+_KEY = ["t1", "t2"]
 
 
-class Items:
-    """Word hashes of a block of benchmark items and its seeds."""
+class Filter:
+    """A Bloom filter of n-gram hashes, with two bits for each."""
 
-    def __init__(self, ids: list[int], hashes: np.ndarray, at: np.ndarray, n: int = NGRAM):
-        self.ids, self.hashes, self.at, self.n = ids, hashes, at, n
-        grams, gram_at = _words.ngrams(hashes, at, n, short=True)
-        item = np.repeat(np.arange(len(ids)), np.diff(gram_at))
-        place = np.arange(len(grams)) - gram_at[item]
-        order = np.argsort(grams, kind="stable")
-        self.seeds, self.seed_item, self.seed_place = grams[order], item[order], place[order]
-        self.filter = self._filter(self.seeds)
+    def __init__(self, bits: int, table: bytes):
+        self.bits, self.table = bits, np.frombuffer(table, np.uint8)
 
     @staticmethod
-    def _filter(values: np.ndarray) -> np.ndarray:
-        out = np.zeros(1 << FILTER_BITS, bool)
-        out[(values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        return out
-
-    def among(self, grams: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Places in ``grams`` of those that are in the sorted ``values``."""
-        maybe = np.flatnonzero(self.filter[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        at = np.searchsorted(values, grams[maybe])
-        at[at == len(values)] = 0
-        return maybe[values[at] == grams[maybe]] if len(values) else maybe[:0]
-
-    def passages(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, start, end) of the stretches of a text, in words, that an item may align with."""
-        hits = self.among(grams, self.seeds)
-        if not len(hits):
-            return []
-        low = np.searchsorted(self.seeds, grams[hits], side="left")
-        n = np.searchsorted(self.seeds, grams[hits], side="right") - low
-        pos = np.repeat(hits, n)
-        seed = np.repeat(low, n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
-        item, place = self.seed_item[seed], self.seed_place[seed]
-        sizes = np.diff(self.at)[item]
-        slack = sizes // 4 + 4
-        start, end = pos - place - slack, pos - place + sizes + slack
-        order = np.lexsort((start, item))
-        out: list[list[int]] = []
-        for i, s, e in zip(item[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True):
-            # hits of nearly one diagonal join; far ones make passages of their own
-            if out and out[-1][0] == i and s <= out[-1][3]:
-                out[-1][2] = max(out[-1][2], e)
-            else:
-                out.append([i, s, e, s + int(slack[0]) + 8])
-        return [(i, s, e) for i, s, e, _ in out]
+    def places(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return (grams >> np.uint64(64 - bits)).astype(np.int64), (grams & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    @classmethod
+    def of(cls, grams: DataFrame) -> Filter:
+        """From the column ``gram``; tasks make partial tables, of which there are eight at most."""
+        n = grams.count()
+        bits = min(max(FILTER_LEAST, (16 * n).bit_length()), FILTER_MOST)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(1 << bits, bool)
+            for batch in batches:
+                for at in cls.places(batch.column("gram").to_numpy().view(np.uint64), bits):
+                    own[at] = True
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["table"])
+
+        table = np.zeros((1 << bits) >> 3, np.uint8)
+        for row in grams.select("gram").coalesce(8).mapInArrow(part, "table binary").toLocalIterator():
+            table |= np.frombuffer(row["table"], np.uint8)
+        return cls(bits, table.tobytes())
+
+    def among(self, grams: np.ndarray) -> np.ndarray:
+        """Places of the n-grams that may be in the filter."""
+        if not len(grams):
+            return np.zeros(0, np.int64)
+        first, second = self.places(grams, self.bits)
+        some = np.flatnonzero(self.table[first >> 3] >> (first & 7).astype(np.uint8) & 1)
+        second = second[some]
+        return some[(self.table[second >> 3] >> (second & 7).astype(np.uint8) & 1).astype(bool)]
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """key, item_id, words, hashes of each item with words, written."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, at = _words.words(texts_of(part))
+                cells = [hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("item_id").cast(pa.int64()), pa.array(np.diff(at), pa.int32()), pa.array(cells, pa.binary())], ["item_id", "words", "hashes"])
+
+    rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
+    made = rows.mapInArrow(hashed, "item_id long, words int, hashes binary").where("words > 0")
+    return written(made.withColumn("key", F.monotonically_increasing_id()), "items")
+
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """key, place, gram, short of every n-gram of the items; a short item is one."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, cell in zip(batch.column("key").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                hashes = np.frombuffer(cell, np.uint64)
+                size = min(len(hashes), NGRAM)
+                grams = _words.ngrams(hashes, np.array([0, len(hashes)]), size)[0]
+                short = size < NGRAM
+                grams = (grams ^ _SHORT[size] if short else grams).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(grams), pa.int64()), pa.array(np.arange(len(grams)), pa.int32()), pa.array(grams), pa.array([short] * len(grams))], ["key", "place", "gram", "short"])
+
+    return written(items.select("key", "hashes").mapInArrow(cut, "key long, place int, gram long, short boolean"), "item-grams")
+
+
+def text_hits(hashes: np.ndarray, at: np.ndarray, known: Filter, short: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, n-gram, sketch bit) of the n-grams of a batch that may be the benchmark's; short ones once a text."""
+    grams, gram_at = _words.ngrams(hashes, at, NGRAM)
+    hit = known.among(grams)
+    text = np.searchsorted(gram_at, hit, side="right") - 1
+    word = hit - gram_at[text]
+    start = at[text] + word
+    around = np.concatenate(([0], hashes, [0])).astype(np.uint64)
+    before = np.where(word > 0, around[start], 0).astype(np.uint64)
+    after = np.where(start + NGRAM < at[text + 1], around[np.minimum(start + NGRAM + 1, len(around) - 1)], 0).astype(np.uint64)
+    bit = (_words.mix(before * np.uint64(0x9E3779B97F4A7C15) + after) >> np.uint64(58)).astype(np.int64)
+    out = [(text, word, grams[hit], bit)]
+    for m in short:
+        grams, gram_at = _words.ngrams(hashes, at, m)
+        grams = grams ^ _SHORT[m]
+        hit = known.among(grams)
+        text = np.searchsorted(gram_at, hit, side="right") - 1
+        first = np.unique(np.stack((text.astype(np.uint64), grams[hit])), axis=1, return_index=True)[1] if len(hit) else hit
+        out.append((text[first], (hit - gram_at[text])[first], grams[hit][first], np.zeros(len(first), np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def gram_counts(texts: DataFrame, known: Filter, short: list[int]) -> DataFrame:
+    """gram, n, bits of the benchmark's n-grams in the corpus: how often, and the sketch of their surroundings."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, _, grams, bit = text_hits(*_words.words(texts_of(part)), known, short)
+                if len(grams):
+                    order = np.argsort(grams, kind="stable")
+                    grams, bit = grams[order], bit[order]
+                    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+                    bits = np.bitwise_or.reduceat(np.uint64(1) << bit.astype(np.uint64), first)
+                    n = np.diff(np.concatenate((first, [len(grams)])))
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[first].view(np.int64)), pa.array(n, pa.int64()), pa.array(bits.view(np.int64))], ["gram", "n", "bits"])
+
+    rows = texts.select("text").mapInArrow(count, "gram long, n long, bits long")
+    return rows.groupBy("gram").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
+
+
+def seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram, key, place, rare of the n-grams that join texts to items; rare ones do it alone."""
+    # surroundings in four steps, so that a copy or two more make an n-gram no less rare
+    around = F.bit_count("bits")
+    step = F.when(around <= 2, 0).when(around <= 8, 1).when(around < COMMON, 2).otherwise(3)
+    known = grams.join(counts, "gram").withColumn("step", step)
+    order = Window.partitionBy("key").orderBy("step", F.xxhash64("gram"), "place")
+    most = F.greatest(F.lit(2), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / RARE))
+    ranked = known.withColumn("rare", F.col("short") | (F.row_number().over(order) <= most))
+    return written(ranked.where(F.col("rare") | (F.col("step") < 3)).select("gram", "key", "place", "rare"), "seeds")
 
 
 def align(item: np.ndarray, passages: np.ndarray) -> np.ndarray:
@@ -111,95 +196,138 @@ def needed(words: int) -> int:
     return MATCH * words if words < NGRAM else int(np.ceil(MATCH * min(SHARE * words, ENOUGH)))
 
 
-def found(items: Items, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, score, start, end) of all texts of a batch that reach an item's needed score."""
-    short = [k for k in range(len(items.ids)) if 0 < items.at[k + 1] - items.at[k] < items.n]
-    by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    grams, gram_at = _words.ngrams(hashes, at, items.n)
-    # one look for the whole batch; only texts with a hit go on
-    hits = items.among(grams, items.seeds)
-    for t in np.unique(np.searchsorted(gram_at, hits, side="right") - 1).tolist():
-        for i, s, e in items.passages(grams[gram_at[t] : gram_at[t + 1]]):
-            if items.at[i + 1] - items.at[i] >= items.n:
-                by_item[i].append((t, s, e))
-    for i in short:
-        own = items.hashes[items.at[i] : items.at[i + 1]]
-        for p in np.flatnonzero(hashes == own[0]).tolist():
-            t = int(np.searchsorted(at, p, side="right")) - 1
-            if p + len(own) <= at[t + 1] and (hashes[p : p + len(own)] == own).all():
-                by_item[i].append((t, p - int(at[t]), p - int(at[t]) + len(own)))
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for i, places in by_item.items():
-        own = items.hashes[items.at[i] : items.at[i + 1]]
-        least = needed(len(own))
-        for k in range(0, len(places), 256):
-            some = [(t, max(0, s), min(int(at[t + 1] - at[t]), e)) for t, s, e in places[k : k + 256]]
-            width = max(e - s for _, s, e in some)
-            rows = np.zeros((len(some), max(1, width)), np.uint64)
-            for r, (t, s, e) in enumerate(some):
+def passages(hits: list[tuple[int, bool]], size: int) -> list[tuple[int, int]]:
+    """(start, end) in words of the stretches of a text to align with an item of ``size`` words.
+
+    hits: (text word - item word, whether the seed is rare). Hits of nearly one diagonal
+    join; those with a rare seed, or with two hits, are passages.
+    """
+    slack = size // 4 + 4
+    out: list[list] = []
+    for diagonal, rare in sorted(hits):
+        if out and diagonal - out[-1][2] <= 2 * slack:
+            out[-1][1] = max(out[-1][1], diagonal + size + slack)
+            out[-1][2:] = [diagonal, out[-1][3] or rare, out[-1][4] + 1]
+        else:
+            out.append([diagonal - slack, diagonal + size + slack, diagonal, rare, 1])
+    return [(s, e) for s, e, _, rare, n in out if rare or n > 1]
+
+
+def best_passages(asked: list[tuple[int, bytes, int, list[tuple[int, bool]]]], hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(place in ``asked``, score, words, start, end) of those that reach their item's needed score.
+
+    asked: (text, item's word hashes, item's key, hits). Passages of one item are aligned together.
+    """
+    by_item: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+    own: dict[int, np.ndarray] = {}
+    for k, (t, cell, key, hits) in enumerate(asked):
+        if key not in own:
+            own[key] = np.frombuffer(cell, np.uint64)
+        by_item[key] += [(k, t, max(0, s), min(int(at[t + 1] - at[t]), e)) for s, e in passages(hits, len(own[key]))]
+    best: dict[int, tuple[int, int, int, int]] = {}
+    for key, places in by_item.items():
+        least = needed(len(own[key]))
+        for a in range(0, len(places), 256):
+            some = places[a : a + 256]
+            rows = np.zeros((len(some), max(1, max(e - s for _, _, s, e in some))), np.uint64)
+            for r, (_, t, s, e) in enumerate(some):
                 rows[r, : e - s] = hashes[at[t] + s : at[t] + e]
-            for (t, s, e), score in zip(some, align(own, rows).tolist(), strict=True):
-                if score >= least and score > best.get((t, i), (0,))[0]:
-                    best[t, i] = (score, s, e)
-    return [(t, i, *v) for (t, i), v in sorted(best.items())]
-
-
-def blocks(benchmark: DataFrame, words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The benchmark in blocks of bounded size, in order of item_id, a block at a time on the driver."""
-    rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").orderBy("item_id", "text")
-    ids: list[int] = []
-    texts: list[str] = []
-    size = 0
-
-    def made() -> Items:
-        hashes, at = _words.words(pa.array(texts, pa.large_string()))
-        return Items(list(ids), hashes, at)
-
-    for row in rows.toLocalIterator():
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        size += len(row["text"]) // 5 + 1
-        if size >= words:
-            yield made()
-            ids, texts, size = [], [], 0
-    if ids:
-        yield made()
+            for (k, _, s, e), score in zip(some, align(own[key], rows).tolist(), strict=True):
+                if score >= least and score > best.get(k, (0,))[0]:
+                    best[k] = (score, len(own[key]), s, e)
+    return [(k, *v) for k, v in sorted(best.items())]
+
+
+def _keyed(docs: DataFrame) -> list[Column]:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2")]
+
+
+def joined(texts: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """t1, t2, items (item_id, key, hashes, hits) of the texts that meet items by seeds, written; None without items."""
+    items = benchmark_items(benchmark)
+    short = [r["words"] for r in items.where(F.col("words") < NGRAM).select("words").distinct().collect()]
+    grams = item_grams(items)
+    distinct = written(grams.select("gram").distinct(), "grams")
+    if distinct.isEmpty():
+        return None
+    known = texts.sparkSession.sparkContext.broadcast(Filter.of(distinct))
+    counts = written(gram_counts(texts, _Shared(known), short).join(distinct, "gram", "left_semi"), "gram-counts")
+    sown = seeds(grams, counts)
+    if sown.isEmpty():
+        return None
+    wanted = texts.sparkSession.sparkContext.broadcast(Filter.of(sown.select("gram").distinct()))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                text, word, gram, _ = text_hits(*_words.words(texts_of(part)), wanted.value, short)
+                if len(text):
+                    at = pa.array(text)
+                    yield pa.RecordBatch.from_arrays([part.column("t1").take(at), part.column("t2").take(at), pa.array(gram.view(np.int64)), pa.array(word, pa.int32())], [*_KEY, "gram", "word"])
+
+    hits = texts.select(*_KEY, "text").mapInArrow(scan, "t1 long, t2 long, gram long, word int").join(sown, "gram")
+    hits = hits.groupBy(*_KEY, "key").agg(F.collect_set(F.struct((F.col("word") - F.col("place")).alias("diagonal"), "rare")).alias("hits"))
+    hits = hits.where((F.size("hits") > 1) | F.exists("hits", lambda h: h["rare"]))
+    full = hits.join(items.select("key", "item_id", "hashes"), "key")
+    return written(full.groupBy(*_KEY).agg(F.collect_list(F.struct("item_id", "key", "hashes", "hits")).alias("items")), "met")
+
+
+class _Shared:
+    """A broadcast filter that is opened on the worker."""
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    def among(self, grams: np.ndarray) -> np.ndarray:
+        return self.shared.value.among(grams)
+
+
+def _near(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join by text; ``keys`` is written, and broadcast where its rows are few."""
+    small = keys.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(keys) if small else keys, _KEY, how)
+
+
+def aligned(rows: DataFrame, met: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, item_id, score, share, start_word, end_word for the rows and items that reach the needed score."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + ["item_id long", "score int", "share double", "start_word int", "end_word int"])
+    names = [*keep, "item_id", "score", "share", "start_word", "end_word"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                asked = [(t, i["hashes"], i["key"], [(h["diagonal"], h["rare"]) for h in i["hits"]]) for t, items in enumerate(part.column("items").to_pylist()) for i in items]
+                ids = [i for items in part.column("items").to_pylist() for i in (x["item_id"] for x in items)]
+                got = best_passages(asked, *_words.words(texts_of(part)))
+                if got:
+                    k, score, size, s, e = zip(*got, strict=True)
+                    text = pa.array([asked[x][0] for x in k])
+                    columns = [*(part.column(c).take(text) for c in keep), pa.array([ids[x] for x in k], pa.int64()), pa.array(score, pa.int32()), pa.array(np.array(score) / (MATCH * np.array(size)), pa.float64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    few = _near(rows, met.select(*_KEY), "left_semi")
+    return few.join(met, _KEY).select(*keep, "text", "items").mapInArrow(scan, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, share, start_word, end_word of each contaminated text and item."""
-    schema = "doc_id long, item_id long, score int, share double, start_word int, end_word int"
-    mine = docs.select("doc_id", "text")
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    hits = found(own, *_words.words(texts_of(part)))
-                    if hits:
-                        t, i, score, s, e = zip(*hits, strict=True)
-                        size = np.diff(own.at)[list(i)]
-                        columns = [part.column("doc_id").cast(pa.int64()).take(pa.array(t)), pa.array([own.ids[k] for k in i], pa.int64()), pa.array(score, pa.int32()), pa.array(np.array(score) / (MATCH * size), pa.float64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())]
-                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "share", "start_word", "end_word"])
-
-        out = out.unionByName(mine.mapInArrow(scan, schema))
-    return out
+    texts = docs.where(F.col("text") != "").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_keyed(docs))
+    met = joined(texts, benchmark)
+    if met is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score int, share double, start_word int, end_word int")
+    return aligned(texts, met, ["doc_id"])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated ones; a round for each block of the benchmark."""
-    for items in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[h[0] for h in found(shared.value, *_words.words(texts_of(part)))]] = False
-                    yield part.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(scan, docs.schema)
-    return docs
+    """``docs`` without contaminated ones; a text is aligned once, however many rows have it."""
+    texts = docs.where(F.col("text") != "").select("text", *_keyed(docs))
+    met = joined(texts, benchmark)
+    if met is None:
+        return docs
+    once = written(_near(texts, met.select(*_KEY), "left_semi").dropDuplicates(_KEY), "met-texts")
+    bad = written(aligned(once, met, _KEY).select(*_KEY).distinct().toDF("_t1", "_t2"), "contaminated")
+    small = bad.count() <= BROADCAST_ROWS
+    first, second = _keyed(docs)
+    bad = F.broadcast(bad) if small else bad
+    return docs.join(bad, (first == bad["_t1"]) & (second == bad["_t2"]), "left_anti")

@@ -62,13 +62,57 @@ def test_contamination_is_that_of_aligning_everything(spark):
     assert {r.doc_id for r in kept} == {d for d, _ in docs} - {d for d, _ in want}
 
 
-def test_blocks_of_the_benchmark_find_the_same(spark, monkeypatch):
+def test_joins_by_shuffle_find_the_same(spark, monkeypatch):
     docs, items = _made(3)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = {tuple(r)[:3] for r in D.contaminated(d, b).collect()}
-    real = D.blocks
-    monkeypatch.setattr(D, "blocks", lambda x: real(x, 100))
+    kept = {r.doc_id for r in D.clean(d, b).collect()}
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
     assert {tuple(r)[:3] for r in D.contaminated(d, b).collect()} == whole
+    assert {r.doc_id for r in D.clean(d, b).collect()} == kept
+
+
+def test_recall_on_edited_copies_and_the_share_of_seeds(spark):
+    """Edited copies of the items in prose of a small vocabulary, against aligning everything."""
+    rng = random.Random(12)
+    words = [f"c{k}" for k in range(40)] * 25 + [f"r{k}" for k in range(1500)]
+    items = [(k, " ".join(rng.choices(words, k=rng.choice((10, 20, 50))))) for k in range(40)]
+    docs = []
+    for k in range(400):
+        own, part = rng.choices(words, k=120), rng.choice(items)[1].split()
+        for _ in range(rng.randrange(0, len(part) // 3 + 1)):
+            at = rng.randrange(len(part))
+            part[at : at + rng.choice((0, 1, 1, 1))] = [rng.choice(words)]
+        own[40:40] = part if k % 2 else []
+        docs.append((k, " ".join(own)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    hashed = {i: _words.words(pa.array([t], pa.large_string()))[0] for i, t in items}
+    want = {(k, i) for k, t in docs for row in [_words.words(pa.array([t], pa.large_string()))[0][None, :]] for i, own in hashed.items() if D.align(own, row)[0] >= D.needed(len(own))}
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(d, b).collect()}
+    assert got <= want and 120 < len(want) < 250 and len(got) >= 0.97 * len(want)
+    grams = D.item_grams(D.benchmark_items(b))
+    known = D.Filter.of(grams.select("gram").distinct())
+    sown = D.seeds(grams, D.gram_counts(d, known, []).join(grams.select("gram").distinct(), "gram", "left_semi"))
+    assert sown.where("rare").count() < 0.36 * grams.count()
+
+
+def test_counts_are_plain_counts(spark):
+    docs, items = _made(5)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    grams = D.item_grams(D.benchmark_items(b))
+    counts = D.gram_counts(d, D.Filter.of(grams.select("gram").distinct()), []).collect()
+    plain, around = {}, {}
+    for _, t in docs:
+        h = _words.words(pa.array([t], pa.large_string()))[0]
+        g = _words.ngrams(h, np.array([0, len(h)]), D.NGRAM)[0].view(np.int64).tolist()
+        w = t.split()
+        for k, x in enumerate(g):
+            plain[x] = plain.get(x, 0) + 1
+            around.setdefault(x, set()).add((w[k - 1] if k else None, w[k + 3] if k + 3 < len(w) else None))
+    asked = {r.gram for r in grams.where("NOT short").collect()}
+    got = {r.gram: (r.n, bin(r.bits & (1 << 64) - 1).count("1")) for r in counts if r.gram in asked}
+    assert {x: n for x, (n, _) in got.items()} == {x: n for x, n in plain.items() if x in asked}
+    assert all(bits <= len(around[x]) and (len(around[x]) > 2 or bits >= 1) for x, (_, bits) in got.items())
 
 
 def test_odd_cases(spark, odd_docs, no_docs):
