@@ -2,17 +2,20 @@
 
 1. Documents with the same n-gram set form a class; one member stands for it.
 2. Classes meet where all values of a band of their MinHash signatures agree. Large
-   bands are cut in blocks, and blocks meet in tiles of bounded size, one task's work.
+   bands are cut in blocks of BLOCK classes and BLOCK_BYTES of n-grams, about, and blocks
+   meet in tiles, one task's work. A set that is sent to a tile is compared with up to a
+   block of others there, so what a hot band sends falls behind what it compares.
 3. Within a tile, pairs are compared a few MinHash values at a time. A pair goes as soon
    as the posterior probability that its similarity reaches the threshold is below
    ``TOLERANCE``. A pair that meets in several bands counts in the first.
-4. The n-gram sets of what is left are compared exactly, in the same tiles. A tile
-   gives each member's links and one edge to the least member of its component, so
+4. The n-gram sets of what is left are compared exactly, in the same tiles, as bit rows
+   over the n-grams that two members of the tile share. A tile gives each member's links and one edge to the least member of its component, so
    that a group of m members gives m rows and not m * m.
-5. Components come from alternating large-star and small-star rounds over those edges.
+5. Components come from alternating large-star and small-star rounds over those edges,
+   until a round changes nothing.
 
 With 24 bands of 4 values a pair at the threshold of 0.8 misses every band with
-probability 3e-6, and pairs above it with less. Sets are told apart by 64-bit hashes.
+probability 3e-6, and pairs above it with less. Sets are told apart by 128-bit hashes.
 
 Defined cases: a text of one to four words has its words as its one n-gram; texts
 without a word, and null texts, are alone (their class is their doc_id, no links);
@@ -39,7 +42,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 STEP = 16
 TOLERANCE = 1e-6
-BLOCK = 512
+BLOCK = 256
+BLOCK_BYTES = 16 << 20
 BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(23)
@@ -47,10 +51,10 @@ _A = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
-def ngram_set(grams: np.ndarray) -> tuple[np.ndarray, int]:
-    """(sorted distinct n-grams, 64-bit name of the set)."""
+def ngram_set(grams: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(sorted distinct n-grams, 128-bit name of the set)."""
     own = np.unique(grams)
-    return own, int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+    return own, hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
 def minhash(own: np.ndarray) -> np.ndarray:
@@ -105,22 +109,26 @@ def verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     t = Fraction(str(threshold))
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     ok = np.zeros(len(left), bool)
-    near = np.minimum(sizes[left], sizes[right]) * t.denominator >= np.maximum(sizes[left], sizes[right]) * t.numerator
-    order = np.flatnonzero(near)
-    order = order[np.argsort(left[order], kind="stable")]
-    cuts = np.flatnonzero(np.diff(left[order])) + 1 if len(order) else np.zeros(0, np.int64)
-    for group in np.split(order, cuts) if len(order) else []:
-        own = sets[left[group[0]]]
-        for at in range(0, len(group), 256):
-            some = group[at : at + 256]
-            others = [sets[k] for k in right[some].tolist()]
-            joined = np.concatenate(others)
-            place = np.searchsorted(own, joined)
-            place[place == len(own)] = 0
-            starts = np.cumsum([0, *map(len, others[:-1])])
-            common = np.add.reduceat((own[place] == joined).astype(np.int64), starts)
-            union = len(own) + sizes[right[some]] - common
-            ok[some] = common * t.denominator >= union * t.numerator
+    some = np.flatnonzero(np.minimum(sizes[left], sizes[right]) * t.denominator >= np.maximum(sizes[left], sizes[right]) * t.numerator)
+    if not len(some):
+        return ok
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # n-grams of one member are in no intersection
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[place]
+    width = int((counts > 1).sum())
+    rows = np.zeros((len(sets), -(-width // 64)), np.uint64)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    for k in range(len(sets)):
+        own = column[at[k] : at[k + 1]]
+        bits = np.zeros(rows.shape[1] * 64, np.uint8)
+        bits[own[own >= 0]] = 1
+        rows[k] = np.packbits(bits, bitorder="little").view(np.uint64)
+    step = max(1, (4 << 20) // max(1, rows.shape[1] * 8))
+    for k in range(0, len(some), step):
+        pairs = some[k : k + step]
+        common = np.bitwise_count(rows[left[pairs]] & rows[right[pairs]]).sum(1, dtype=np.int64)
+        union = sizes[left[pairs]] + sizes[right[pairs]] - common
+        ok[pairs] = common * t.denominator >= union * t.numerator
     return ok
 
 
@@ -143,16 +151,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             hashes, at = _words.words(texts_of(part))
             grams, at = _words.ngrams(hashes, at, NGRAM, short=True)
-            node, size, bands, signature = [], [], [], []
+            name_of, size, bands, signature = [], [], [], []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if s == e:
-                    node.append(None), size.append(0), bands.append(None), signature.append(None)
+                    name_of.append(None), size.append(0), bands.append(None), signature.append(None)
                     continue
                 own, name = ngram_set(grams[s:e])
                 values = minhash(own)
-                node.append(name), size.append(len(own)), bands.append(band_keys(values)), signature.append(values.astype(np.uint8).tobytes())
-            columns = [part.column("doc_id").cast(pa.int64()), part.column("_text"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int32())), pa.array(signature, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_text", "node", "size", "bands", "signature"])
+                name_of.append(name), size.append(len(own)), bands.append(band_keys(values)), signature.append(values.astype(np.uint8).tobytes())
+            columns = [part.column("doc_id").cast(pa.int64()), part.column("_text"), pa.array(name_of, pa.binary()), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int32())), pa.array(signature, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_text", "name", "size", "bands", "signature"])
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
@@ -210,9 +218,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, at = _words.words(texts_of(part))
             grams, at = _words.ngrams(hashes, at, NGRAM, short=True)
             made = [ngram_set(grams[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            wanted = part.column("node").to_pylist()
+            wanted = part.column("name").to_pylist()
             keep = [k for k, (_, name) in enumerate(made) if name == wanted[k]]
-            yield pa.RecordBatch.from_arrays([pa.array([wanted[k] for k in keep], pa.int64()), pa.array([made[k][0].tobytes() for k in keep], pa.binary())], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(keep, pa.int64())), pa.array([made[k][0].tobytes() for k in keep], pa.binary())], ["node", "grams"])
 
 
 def _links(threshold: float):
@@ -238,8 +246,12 @@ def _links(threshold: float):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of each node's component. edges: (node, root) pairs."""
+def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, root): the least node of each node's component. edges: (node, root) pairs.
+
+    Rounds go on until one changes nothing; the number needed grows with the logarithm of
+    the longest chain. Beyond ``rounds`` it raises, and never returns unfinished components.
+    """
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first())
     e = written(edges.where("node <> root").select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct(), "edges")
     seen = mark(e)
@@ -255,55 +267,59 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         e = written(e, "edges")
         now = mark(e)
         if now == seen:
-            break
+            return e
         seen = now
+    if seen[0]:
+        raise RuntimeError(f"components have not converged in {rounds} rounds")
     return e
 
 
 def join_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(documents as doc_id, _text, node; classes as node, copies, links, class_id, first).
+    """(documents as doc_id, _text, name; classes as name, copies, links, class_id, first).
 
     first: the least (doc_id, text hash) of the class's rows with a doc_id.
     """
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = mine.withColumn("_text", F.xxhash64("text"))
-    sketch = written(keyed.mapInArrow(_sketch, "doc_id long, _text long, node long, size int, bands array<int>, signature binary"), "sketches")
-    known = sketch.where("node IS NOT NULL")
+    sketch = written(keyed.mapInArrow(_sketch, "doc_id long, _text long, name binary, size int, bands array<int>, signature binary"), "sketches")
+    known = sketch.where("name IS NOT NULL")
     who = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "_text")
-    nodes = known.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(who).alias("who"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_text"))).alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    nodes = written(nodes, "classes")
-
-    band = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    band = band.select("node", F.expr("shiftleft(CAST(band AS BIGINT), 32) | (CAST(value AS BIGINT) & 4294967295)").alias("key"))
-    shared = written(band.groupBy("key").count().where("count > 1"), "bands")
-    met = band.join(shared, "key").select("key", "node", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    nodes = known.groupBy("name").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(who).alias("who"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_text"))).alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    # a class's number is fixed by being written
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    band = nodes.select("node", "size", F.posexplode("bands").alias("band", "value"))
+    band = band.select("node", "size", F.expr("shiftleft(CAST(band AS BIGINT), 32) | (CAST(value AS BIGINT) & 4294967295)").alias("key"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int")
+    shared = written(band.groupBy("key").agg(F.count(F.lit(1)).alias("count"), blocks.alias("blocks")).where("count > 1").drop("count"), "bands")
+    met = band.join(shared, "key").select("key", "node", "blocks")
     met = met.join(nodes.select("node", "copies", "bands", "signature"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies", "bands", "signature")
     ordered = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     candidates = written(ordered.mapInArrow(_candidates(least_matches(threshold)), "key long, i int, j int, place int, node long, copies long, partners binary"), "candidates")
 
-    wanted = written(candidates.select("node").distinct().join(nodes.select("node", "who"), "node").select("node", F.col("who.id").alias("_id"), F.col("who._text").alias("_text")), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS  # three longs a row; larger ones are joined by a shuffle
+    wanted = written(candidates.select("node").distinct().join(nodes.select("node", "name", "who"), "node").select("node", "name", F.col("who.id").alias("_id"), F.col("who._text").alias("_text")), "wanted")
+    small = wanted.count() <= BROADCAST_ROWS  # five longs a row; larger ones are joined by a shuffle
     texts = mine.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
-    sets = texts.join(F.broadcast(wanted) if small else wanted, ["_id", "_text"]).select("node", "text").mapInArrow(_sets, "node long, grams binary").dropDuplicates(["node"])
+    sets = texts.join(F.broadcast(wanted) if small else wanted, ["_id", "_text"]).select("node", "name", "text").mapInArrow(_sets, "node long, grams binary").dropDuplicates(["node"])
     full = candidates.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "place")
     found = written(full.mapInArrow(_links(threshold), "node long, links long, root long"), "links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.select("node", "root").distinct())
-    owned = nodes.select("node", "copies", "least", "first").join(parts, "node", "left").join(links, "node", "left")
-    owned = owned.select("node", "copies", "least", "first", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    owned = nodes.select("node", "name", "copies", "least", "first").join(parts, "node", "left").join(links, "node", "left")
+    owned = owned.select("name", "copies", "least", "first", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     owned = written(owned, "owned")
     names = owned.groupBy("root").agg(F.min("least").alias("class_id"), F.min("first").alias("first"))
-    classes = written(owned.drop("first").join(names, "root").select("node", "copies", "links", "class_id", "first"), "named")
-    return sketch.select("doc_id", "_text", "node"), classes
+    classes = written(owned.drop("first").join(names, "root").select("name", "copies", "links", "class_id", "first"), "named")
+    return sketch.select("doc_id", "_text", "name"), classes
 
 
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, n_links (documents at the threshold or over, copies too) for each document."""
     members, classes = join_classes(docs, threshold)
-    out = members.join(classes, "node", "left")
+    out = members.join(classes, "name", "left")
     links = F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), links.alias("n_links"))
 
@@ -316,8 +332,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     class's first, and no other.
     """
     members, classes = join_classes(docs, threshold)
-    kept = F.col("node").isNull() | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("_text") == F.col("first._text")))
-    found = members.where("doc_id IS NOT NULL").join(classes.select("node", "first"), "node", "left")
+    kept = F.col("name").isNull() | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("_text") == F.col("first._text")))
+    found = members.where("doc_id IS NOT NULL").join(classes.select("name", "first"), "name", "left")
     found = found.groupBy(F.col("doc_id").alias("_kept_doc_id"), F.col("_text").alias("_kept_text")).agg(F.max(kept).alias("_kept"), F.count(F.lit(1)).alias("_rows"))
     found = written(found, "kept")
     same = (F.col("doc_id") == F.col("_kept_doc_id")) & (F.xxhash64("text") == F.col("_kept_text"))

@@ -56,9 +56,10 @@ def _corpus(seed, groups, copies):
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_join_is_that_of_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "size"), [(512, 1 << 24), (3, 1 << 24), (512, 2000)])
+def test_join_is_that_of_all_pairs(spark, monkeypatch, block, size):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "BLOCK_BYTES", size)
     rows = [*_corpus(5, 30, 9), (900, "one two"), (901, "one two"), (902, ""), (903, "..")]
     got = J.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == _brute(rows)
@@ -95,6 +96,38 @@ def test_components_of_a_long_chain(spark):
     assert all(got[k] == 0 for k in range(1, 301)) and got[1001] == 1000
 
 
+def test_unfinished_components_are_an_error(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(300)], "node long, root long")
+    with pytest.raises(RuntimeError, match="not converged in 2 rounds"):
+        J.components(edges, rounds=2)
+    assert J.components(edges.limit(0)).count() == 0
+
+
+def test_exact_similarity_of_any_sets():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, most, rng.integers(1, 300)).astype(np.uint64)) for most in (40, 300, 300, 90, 5000) for _ in range(8)]
+    sets += [sets[3], sets[12]]
+    left, right = np.triu_indices(len(sets), 1)
+    for t in (0.8, 0.5):
+        want = [len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= t for a, b in zip(left, right, strict=True)]
+        assert J.verify(sets, left, right, t).tolist() == want and any(want)
+
+
+def test_long_near_copies_stay_within_tiles_of_bytes(spark, monkeypatch):
+    """A hundred near copies of 3,000 words against all pairs, in tiles of a few members."""
+    monkeypatch.setattr(J, "BLOCK_BYTES", 200_000)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(3000)]
+    rows = []
+    for k in range(100):
+        own = list(base)
+        for _ in range(rng.randrange(70)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(99)}"
+        rows.append((k, " ".join(own)))
+    got = J.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == _brute(rows)
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(3)
     least = J.least_matches()
