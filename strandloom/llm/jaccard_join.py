@@ -259,10 +259,10 @@ def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         if not seen[0]:
             break
         both = e.unionByName(e.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        low = both.groupBy("node").agg(F.least(F.col("node"), F.min("root")).alias("low"))
-        large = both.where("root > node").join(low, "node").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
-        low = large.groupBy("node").agg(F.min("root").alias("low"))
-        small = large.join(low, "node")
+        # the least neighbours are written first: joins are then plain, and a hub's many rows can be split
+        low = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("root")).alias("low")), "lows")
+        large = written(both.where("root > node").join(low, "node").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct(), "edges")
+        small = large.join(written(large.groupBy("node").agg(F.min("root").alias("low")), "lows"), "node")
         e = small.select(F.explode(F.array(F.struct("node", F.col("low").alias("root")), F.struct(F.col("root").alias("node"), F.col("low").alias("root")))).alias("e")).select("e.*").where("node <> root").distinct()
         e = written(e, "edges")
         now = mark(e)
