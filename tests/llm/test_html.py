@@ -72,3 +72,144 @@ def test_pages_table(spark):
     got = extract_pages(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
     assert sorted((r.page_id or 0, len(r.text)) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 0), (3, 249_999)]
     assert extract_pages(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_row_spans_take_their_places():
+    assert extract("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+    assert extract("<table><tr><td>k<td rowspan=3>long<td>x<tr><td>l<td>y<tr><td>m<td>z<tr><td>n<td>o<td>p</table>") == "k  long  x\nl        y\nm        z\nn  o     p"
+    assert extract("<table><tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d<tr><td>e<td>f<td>g</table>") == "ab     c\n       d\ne   f  g"
+    assert extract("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a  b\n   c\n   d"
+
+
+def test_style_sheets_and_inherited_visibility():
+    css = "<style>/* .y{display:none} */ .x, p#z.q { color:red; display:none } @media print { .p {display:none} } .i{visibility:hidden} .b{display:none!important}</style>"
+    assert extract(css + "<p class='a x'>no<p class=y>one<p class=p>two<p id=z class=q>no<p id=z>three") == "one\n\ntwo\n\nthree"
+    assert extract(css + "<div class=i>no<b style='visibility:visible'>yes</b><ul><li>no</ul></div>") == "yes"
+    assert extract(css + "<p class=x style='display:block'>over<p class=b style='display:block'>no<p class=b style='display:block !important'>last") == "over\n\nlast"
+    assert extract("<style>p{display:none} .on{display:block} .off{display:none} div.off{display:block}</style><p>no<p class=on>yes<div class=off>too</div><span class=off>no</span>") == "yes\n\ntoo"
+    assert extract("<style>.a{display:none</style>x<span class=a>y") in ("xy", "x")
+
+
+def test_time_grows_with_the_page():
+    """Pages on which a walk over all open elements, or to the page's end, for each tag would take minutes."""
+    import time
+
+    n = 60_000
+    pages = ["<div>" * n + "deep", '<a "' * n, "<a ='" * n, "<a b=\"'" * n, "</a" * n, "<b>x</i>" * n, "<p><b>" * n + "x", "<ul><li>x" * (n // 4), "<blockquote>x" * (n // 4), "<table><tr><td>x" * (n // 8), "<table><tr><td colspan=1000>x" * 2000, "<style>" + ".a{display:none}" * 2000 + "</style>" + "<p class=b>x" * 20_000, "<select><option>" * n, "<svg>" * n + "<p>x"]
+    for page in pages:
+        start = time.process_time()
+        extract(page)
+        assert time.process_time() - start < 15, page[:30]
+
+
+# An independent renderer, by recursion over trees and plain rules, for whole well-formed pages.
+
+_INLINE, _BOX = ("span", "b", "i"), ("div", "section")
+
+
+def _slow(node, depth=0):
+    """Lines of a tree (tag, attributes, children or text): (lines, blank before and after) for blocks, text for the rest."""
+    flow, line = [], ""
+
+    def close(blank=False):
+        nonlocal line
+        if line.strip():
+            flow.append(("line", " ".join(line.split())))
+        line = ""
+        if blank:
+            flow.append(("blank", ""))
+
+    def add(child):
+        nonlocal line
+        if isinstance(child, str):
+            line += child
+            return
+        tag, hidden, own = child
+        if hidden:
+            return
+        if tag in _INLINE:
+            for x in own:
+                add(x)
+        elif tag == "table":
+            close(True)
+            rows = [[_text(cell) for cell in row] for row in own]
+            rows = [r for r in rows if any(any(c) for c in r)]
+            if rows:
+                wide = max(map(len, rows))
+                width = [max((len(x) for r in rows if k < len(r) for x in r[k]), default=0) for k in range(wide)]
+                if wide == 1 and width[0] > 60:
+                    width = [0]
+                for r in rows:
+                    for k in range(max(map(len, r))):
+                        flow.append(("line", "  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, width)).rstrip()))
+                close(True)
+        elif tag == "ul":
+            close(depth == 0)
+            for item in own:
+                lines = _slow(("li", False, item), depth + 1)
+                mark = True
+                for kind, text in lines:
+                    if kind == "line":
+                        flow.append((kind, ("*-+"[depth % 3] + " " if mark else "  ") + text))
+                        mark = False
+                    else:
+                        flow.append((kind, text))
+            close(depth == 0)
+        else:
+            close(tag == "p")
+            for x in own:
+                add(x)
+            close(tag == "p")
+
+    for child in node[2]:
+        add(child)
+    close()
+    return flow
+
+
+def _text(children):
+    out = []
+    blank = False
+    for kind, text in _slow(("root", False, children)):
+        if kind == "blank":
+            blank = bool(out)
+        else:
+            if blank:
+                out.append("")
+            blank = False
+            out.append(text)
+    return out or []
+
+
+def _page(child):
+    if isinstance(child, str):
+        return child
+    tag, hidden, own = child
+    mark = " hidden" if hidden else ""
+    if tag == "table":
+        return f"<table{mark}>" + "".join("<tr>" + "".join("<td>" + "".join(map(_page, c)) + "</td>" for c in row) + "</tr>" for row in own) + "</table>"
+    if tag == "ul":
+        return f"<ul{mark}>" + "".join("<li>" + "".join(map(_page, item)) + "</li>" for item in own) + "</ul>"
+    return f"<{tag}{mark}>" + "".join(map(_page, own)) + f"</{tag}>"
+
+
+_words = st.sampled_from(["a", "bb ", " ccc", " ", "dd ee", "f\n g"])
+_hidden = st.sampled_from([False, False, False, True])
+_inline = st.recursive(_words, lambda c: st.tuples(st.sampled_from(_INLINE), _hidden, st.lists(c, max_size=3)), max_leaves=6)
+_para = st.tuples(st.just("p"), _hidden, st.lists(_inline, max_size=3))
+_trees = st.recursive(
+    st.one_of(_inline, _para),
+    lambda c: st.one_of(
+        st.tuples(st.sampled_from(_BOX), _hidden, st.lists(c, max_size=4)),
+        st.tuples(st.just("ul"), _hidden, st.lists(st.lists(_inline, min_size=1, max_size=2), max_size=3)),
+        st.tuples(st.just("table"), _hidden, st.lists(st.lists(st.lists(c, max_size=2), min_size=1, max_size=3), min_size=1, max_size=3)),
+    ),
+    max_leaves=14,
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(_trees, max_size=5))
+def test_well_formed_pages_are_those_of_a_plain_recursion(children):
+    page = "<!doctype html><body>" + "".join(map(_page, children)) + "</body>"
+    assert extract(page).split("\n") == (_text(children) or [""])
