@@ -10,7 +10,7 @@ sums its own counts, Spark sums those. Profiles have a fixed number of rows a la
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is
 every text when nothing was learned; ties go to the smaller language name, ties among
-n-grams to the smaller one; rows of null doc_id are predicted but not learned from;
+n-grams to the smaller one; more than LANGUAGES_MOST languages raise; rows of null doc_id are predicted but not learned from;
 texts of any length are read whole; an empty table gives an empty result; extra columns
 are ignored.
 """

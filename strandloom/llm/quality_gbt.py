@@ -1,14 +1,15 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Statistics come from whole texts in Arrow batches. Trees grow on the driver from a
-bounded sample of labelled rows (SAMPLE_ROWS, those of least id hash), with features in
+bounded sample of labelled documents (SAMPLE_ROWS, those of least id hash), with features in
 at most BINS bins and gradient sums by bin. The fitted trees are flattened into arrays
 of node feature, threshold, children and value, which numpy walks for all rows and
 trees of a batch at once.
 
 Defined cases: null texts score as empty ones, which get a score; without labels of
 both kinds every score is the share of label 1 (0.5 without any); several labels of a
-document count by their mean; null doc_ids are scored but not learned from; an empty
+document count by their mean; of rows of one doc_id that of the least text hash is learned
+from; null doc_ids are scored but not learned from; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -191,8 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, folds: int
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label"), pa.array(list(rows), pa.list_(pa.float32()))], ["doc_id", "label", "x"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = joined.mapInArrow(features, "doc_id long, label int, x array<float>").limit(2 * most).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    # of rows that share a doc_id one is learned from, so no more than ``most`` come here
+    joined = joined.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = joined.select("doc_id", "text", "label").mapInArrow(features, "doc_id long, label int, x array<float>").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in rows], np.float32).reshape(len(rows), len(FEATURES))
     return Trees.fit(x, np.array([r["label"] for r in rows], float))
 

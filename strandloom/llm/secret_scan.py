@@ -3,8 +3,10 @@
 A run of credential characters that a byte-pair vocabulary can only spell in very
 short tokens is random; words, names and paths take long tokens. Runs that are known
 digests (their length and hexadecimal letters), UUIDs, numbers, or identifiers made of
-words and counters are left out first. A run has 16 letters or more and needs no digit;
-one limit holds for all. Words joined by marks count as identifiers, whatever the words.
+words and counters are left out first. A run has ``least`` letters or more (16: shorter
+ones are too few for a ratio to tell) and needs no digit; one limit holds for all. A run
+of parts joined by marks is an identifier where its letters alone, part by part, are
+spelled at the limit or above it; else it is measured like any.
 
 Spans are (kind, start, end) in code points, end exclusive. Defined cases: null text is
 empty and has no span; a text of any length is scanned whole; equal rows give equal
@@ -33,14 +35,14 @@ _BASE = [(kind, re.compile(p, f), g, least) for kind, p, f, g, least in BASE]
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
-_RUN_LEAST = 16
-#: The letters of a run: two less than its least length, as padding counts.
-_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{_RUN_LEAST - 2},}}")
+RUN_LEAST = 16
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
 _PART = r"(?:[A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,8}|[0-9]{1,2}T[0-9]{1,2}Z?)"
 _NAMED = re.compile(rf"{_PART}(?:[_/.+-]+{_PART})+[_/.+-]*|[A-Z]?[a-z]{{3,}}[0-9]{{1,4}}")
+#: Parts that are long enough to tell words from random letters.
+_WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
 CHARS_PER_TOKEN = 2.0
 
 
@@ -61,10 +63,16 @@ class TokenEfficiency:
         return len(run) / max(1, len(self.encoding.encode_ordinary(run)))
 
 
-def is_known(run: str) -> bool:
+def is_known(run: str, efficiency: TokenEfficiency, limit: float) -> bool:
     """A digest, UUID, number or identifier, which is no secret for being hard to spell."""
     bare = run.strip("=+/_-")
-    return bool((_HEX.fullmatch(bare) and len(bare) in DIGEST_LENGTHS) or _UUID.fullmatch(bare) or _NUMBER.fullmatch(run) or _NAMED.fullmatch(run))
+    if (_HEX.fullmatch(bare) and len(bare) in DIGEST_LENGTHS) or _UUID.fullmatch(bare) or _NUMBER.fullmatch(run):
+        return True
+    if not _NAMED.fullmatch(run):
+        return False
+    parts = _WORDS.findall(run)
+    letters = sum(map(len, parts))
+    return letters < 4 or letters >= limit * sum(len(p) / efficiency(p) for p in parts)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -89,24 +97,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def runs(text: str) -> list[tuple[int, int]]:
+def runs(text: str, least: int = RUN_LEAST) -> list[tuple[int, int]]:
     """(start, end) of the maximal runs of credential letters that are long enough and no part of an address."""
     out = []
-    for m in _RUN.finditer(text):
+    # two less than the least length, as padding counts
+    for m in re.finditer(rf"[A-Za-z0-9+/_-]{{{max(1, least - 2)},}}", text):
         s, e = m.span()
         pad = e
         while pad < min(len(text), e + 2) and text[pad] == "=":
             pad += 1
         if pad == len(text) or text[pad] not in _LETTERS:
             e = pad  # the padding of base 64
-        if e - s >= _RUN_LEAST and text[e : e + 1] != "@":
+        if e - s >= least and text[e : e + 1] != "@":
             out.append((s, e))
     return out
 
 
 def random_spans(text: str, efficiency: TokenEfficiency, limit: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the runs whose token efficiency is below ``limit``."""
-    return [(s, len(BASE), e) for s, e in runs(text) if not is_known(text[s:e]) and efficiency(text[s:e]) < limit]
+    return [(s, len(BASE), e) for s, e in runs(text) if efficiency(text[s:e]) < limit and not is_known(text[s:e], efficiency, limit)]
 
 
 def _named(spans: list[tuple[int, int, int]]) -> str:

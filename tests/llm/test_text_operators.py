@@ -133,6 +133,47 @@ def test_statistics_of_one_text_do_not_depend_on_its_batch():
     assert whole.shape == (5, len(Q.FEATURES)) and np.isfinite(whole).all()
 
 
+def _plain_statistics(t):
+    """A few of the features by plain Python."""
+    b, w = t.encode(), [x for x in "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()]
+    lines = t.split("\n")
+    tri = list(zip(w, w[1:], w[2:]))
+    return {
+        "log_bytes": np.log1p(len(b)), "log_words": np.log1p(len(w)), "word_length": sum(len(x.encode()) for x in w) / max(1, len(w)),
+        "upper": sum(65 <= x <= 90 for x in b) / max(1, len(b)), "digit": sum(48 <= x <= 57 for x in b) / max(1, len(b)), "newline": sum(x in b"\n\r" for x in b) / max(1, len(b)),
+        "distinct_words": len(set(w)) / len(w) if w else 1, "top_word": max(map(w.count, w)) / len(w) if w else 0, "distinct_trigrams": len(set(tri)) / len(tri) if tri else 1,
+        "repeated_lines": 1 - len(set(lines)) / len(lines) if len(lines) > 1 else 0, "long_words": sum(len(x.encode()) > 14 for x in w) / max(1, len(w)),
+        "entropy": -sum(p * np.log2(p) for p in (b.count(x) / len(b) for x in set(b))) if b else 0,
+    }
+
+
+def test_statistics_are_plain_ones():
+    texts = ["", "One two\nOne two\nthree", "é à 東京 x1 x1 x1 x1", "a" * 40 + " 12 12, END", " ".join(f"w{k % 7}" for k in range(300))]
+    got = Q.statistics(pa.array(texts, pa.large_string()))
+    for row, t in zip(got, texts, strict=True):
+        for name, want in _plain_statistics(t).items():
+            assert abs(row[Q.FEATURES.index(name)] - want) < 1e-5, (name, t[:20])
+
+
+def test_first_split_is_the_best_of_all():
+    """The root of the first tree by brute force over all features and bin edges."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    y = ((x[:, 2] > 0.3) ^ (rng.random(300) < 0.1)).astype(float)
+    t = Q.Trees.fit(x, y, trees=1, depth=1)
+    g, h = y - y.mean(), y.mean() * (1 - y.mean())
+    best = max(((gl := g[x[:, f] <= e].sum()) ** 2 / ((nl := (x[:, f] <= e).sum()) * h + 1) + (g.sum() - gl) ** 2 / ((300 - nl) * h + 1), f, e) for f in range(4) for e in np.unique(np.quantile(x[:, f], np.linspace(0, 1, Q.BINS + 1)[1:-1])) if 5 <= (x[:, f] <= e).sum() <= 295)
+    assert (t.feature[0], t.threshold[0]) == (best[1], np.float32(best[2]))
+
+
+def test_repeated_ids_are_learned_once(spark):
+    docs = spark.createDataFrame([(k, f"text number {k} " * (1 + k % 3)) for k in range(60)] + [(7, f"other {j}") for j in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int")
+    one, two = (Q.fit(d, labels, most=30) for d in (docs, docs.repartition(7)))
+    x = np.random.default_rng(1).normal(size=(20, len(Q.FEATURES))).astype(np.float32)
+    assert np.array_equal(one.scores(x), two.scores(x))
+
+
 def test_quality_odd_cases(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     rows = Q.classify(odd_docs, labels).collect()
@@ -149,6 +190,12 @@ def test_quality_held_out_accuracy(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.93
 
 
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = L.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
+    assert len(rows) > 100 and sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.97
+
+
 def test_hilbert_steps_go_to_a_neighbour(spark):
     for n, bits in ((2, 3), (3, 2)):
         size = 1 << bits
@@ -188,6 +235,18 @@ def test_a_third_of_the_same_row_is_cut_between(spark, hot):
     assert len(got) == 900 and len(size) == 16 and max(abs(v - mean) for v in size.values()) <= 40
 
 
+def test_random_parts_are_no_identifier():
+    e = S.TokenEfficiency(VOCABULARY)
+    rng = random.Random(4)
+    part = lambda: "".join(rng.choices(string.ascii_lowercase, k=4)) + "".join(rng.choices(string.digits, k=4))
+    found = sum(bool(S.random_spans("-".join(part() for _ in range(3)), e)) for _ in range(300))
+    letters = sum(bool(S.random_spans("".join(rng.choices(string.ascii_letters, k=24)), e)) for _ in range(300))
+    assert found > 240 and letters > 290
+    assert S.random_spans("ghp_QwErTyUiOpAsDfGhJkLzXcVbNmQw is found", e) == [(0, 3, 32)]
+    for name in ("user_profile-settings_v2", "src/main/java/com/example/App", "release-2024-candidate-17", "HTTPRequestHandlerFactory"):
+        assert S.random_spans(name, e) == [], name
+
+
 def test_all_rows_the_same_fill_all_shards(spark):
     for row in ((None, None, None, None), (5, "same", "en", "s")):
         got = H.shard_documents(spark.createDataFrame([row] * 4000, "doc_id long, text string, lang string, source string")).collect()
