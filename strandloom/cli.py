@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> DataFrame | None:
         print(f"strandloom {VERSION}")
         return None
     c = config_of(o)
+    began = time.time()
     own = spark or SparkSession.builder.appName("strandloom").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     work = o.workdir.rstrip("/")
     refs = fastx.references(own, o.ref)
@@ -95,15 +97,20 @@ def run(argv: list[str], spark: SparkSession | None = None) -> DataFrame | None:
     zipped = fastx.sniff(own, o.reads[0])[1]
     search = Search(reads, refs, c, ix).checked()
     store = o.kvdb or f"{work}/kvdb"
+    # a report of an earlier search takes its statistics, not those of the reads given now
     if o.task in (0, 3, 4):
         search.alignments().write.mode("errorifexists").parquet(store)
+        search.save_stats(f"{store}-stats")
+    else:
+        search.load_stats(f"{store}-stats")
     found = own.read.parquet(store)
     folder = o.aligned or f"{work}/out"
     command = " ".join(argv)
+    about = lambda: {"command": command, "references": o.ref, "reads": o.reads, "finished": time.strftime("%Y-%m-%d %H:%M:%S"), "seconds": time.time() - began}
     if o.task in (2, 4):
-        search.write(found, folder, command, zipped)
+        search.write(found, folder, command, zipped, about())
     elif o.task in (1, 3):
-        text = reports.summary_text(search.summary(found), c)
+        text = reports.summary_text(search.summary(found), c, about())
         reports.save_lines(own.range(1).select(F.lit(text.rstrip("\n")).alias("line")), f"{folder}/log")
     return found
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,6 @@ class SearchConfig:
     out2: bool = False
     sout: bool = False
     zip_out: int = -1
-    notes: tuple[str, ...] = field(default=())
 
     def __post_init__(self):
         bad = []

@@ -28,10 +28,17 @@ def within_budget(candidates: DataFrame, config: SearchConfig) -> DataFrame:
 
 
 def frames(places: DataFrame, reads: DataFrame, config: SearchConfig) -> DataFrame:
-    """For each hit of a read on a reference, how many hits lie in the frame that starts at it."""
+    """For each hit of a read on a reference, how many hits lie in the frame that starts at it.
+
+    One sorted pass over three events a hit; a frame that ends before it starts holds none.
+    """
+    key = [*_READ, "ref_num"]
     sized = places.join(reads.select("read_id", F.length("seq").alias("_len")), "read_id")
-    keyed = sized.withColumn("_reach", F.col("_len") - F.col("win") - config.seed + 1)
-    order = Window.partitionBy(*_READ, "ref_num").orderBy("pos")
-    near = F.collect_list("pos").over(order.rangeBetween(0, config.max_read_len))
-    inside = F.size(F.filter(near, lambda p: p <= F.col("pos") + F.col("_reach")))
-    return keyed.select(*_READ, "ref_num", "pos", "win", inside.alias("in_frame"))
+    reach = F.col("pos") + F.col("_len") - F.col("win") - config.seed + 1
+    # a frame's begin, the hits, and a frame's end, in order of place: the hits counted between are those inside
+    event = lambda at, kind: F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"))
+    events = sized.select(*key, "pos", "win", F.explode(F.array(event(F.col("pos"), 0), event(F.col("pos"), 1), event(reach, 2))).alias("e"))
+    order = Window.partitionBy(*key).orderBy("e.at", "e.kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = events.withColumn("_n", F.sum((F.col("e.kind") == 1).cast("int")).over(order)).where("e.kind <> 1")
+    inside = F.sum(F.when(F.col("e.kind") == 2, F.col("_n")).otherwise(-F.col("_n"))).cast("int")
+    return counted.groupBy(*key, "pos", "win").agg(inside.alias("in_frame"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from strandloom.config import SearchConfig
 from strandloom.functions.encode import reverse_complement, seed_alphabet
 from strandloom.operators.index import SeedIndex
+from strandloom.tables import written
 
 #: Distinct index rows up to which the join may broadcast them (about 60 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -54,19 +55,33 @@ def spread(reads: DataFrame) -> DataFrame:
 
 
 def one_edit(pattern: Column, tail: Column, half: int) -> Column:
-    """Whether a prefix of the tail of half - 1 to half + 1 letters is within one edit of the pattern."""
+    """Whether a prefix of the tail of half - 1 to half + 1 letters is within one edit of the pattern.
+
+    One edit leaves a beginning or an end of the pattern as it is, so most tails go by two
+    comparisons of a few letters before any distance is taken.
+    """
+    k = half // 2
+    start = F.substring(pattern, 1, k) == F.substring(tail, 1, k)
+    # the rest of the pattern stands unmoved, or moved by one letter
+    rest = F.substring(pattern, k + 1, half)
+    end = (rest == F.substring(tail, k + 1, half - k)) | (rest == F.substring(tail, k, half - k)) | (rest == F.substring(tail, k + 2, half - k))
     near = [F.levenshtein(pattern, F.substring(tail, 1, n), 1) for n in (half - 1, half, half + 1)]
-    return (near[0] >= 0) | (near[1] >= 0) | (near[2] >= 0)
+    return (start | end) & ((near[0] >= 0) | (near[1] >= 0) | (near[2] >= 0))
 
 
 def exact(pattern: Column, tail: Column, half: int) -> Column:
     return F.substring(tail, 1, half) == pattern
 
 
-def side_hits(found: DataFrame, entries: DataFrame, config: SearchConfig, key: str, other: Column, small: bool) -> DataFrame:
-    """One sub-search: db, read_id, strand, win, code, is_exact, each code of a window once."""
+def side_hits(found: DataFrame, entries: DataFrame, config: SearchConfig, key: str, other: Column, small: bool, but: DataFrame | None = None) -> DataFrame:
+    """One sub-search: db, read_id, strand, win, code, is_exact, each code of a window once.
+
+    but: windows (by db) that are left out.
+    """
     named = entries.select("db", F.col("half").alias(key), F.col("tail").alias("_tail"), "code")
     joined = found.join(F.broadcast(named) if small else named, key).where(one_edit(other, F.col("_tail"), config.half))
+    if but is not None:
+        joined = joined.join(but, ["db", "read_id", "strand", "win"], "left_anti")
     out = joined.select("db", "read_id", "strand", "win", "code", exact(other, F.col("_tail"), config.half).alias("is_exact"))
     return out.groupBy("db", "read_id", "strand", "win", "code").agg(F.max("is_exact").alias("is_exact"))
 
@@ -79,9 +94,10 @@ def hits(found: DataFrame, index: SeedIndex, config: SearchConfig, small: bool |
     if config.full_search:
         back = side_hits(found, index.back, config, "w2", F.reverse("w1"), small)
         return ahead.unionByName(back).select("db", "read_id", "strand", "win", "code").distinct()
+    # written, as it is used twice: only windows without an exact hit are searched back
+    ahead = written(ahead, "hits-ahead")
     solved = ahead.where("is_exact").select("db", "read_id", "strand", "win").distinct()
-    back = side_hits(found, index.back, config, "w2", F.reverse("w1"), small)
-    back = back.join(solved, ["db", "read_id", "strand", "win"], "left_anti")
+    back = side_hits(found, index.back, config, "w2", F.reverse("w1"), small, solved)
     return settle(ahead.withColumn("side", F.lit(0)).unionByName(back.withColumn("side", F.lit(1))))
 
 

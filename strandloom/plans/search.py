@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +34,14 @@ class Search:
         self._stats: dict[int, ScoreStats] | None = None
 
     def checked(self) -> Search:
-        """This search, once no read is over the length limit."""
+        """This search, once no read is over the length limit and, in a paired search, every read has its mate."""
         long = fastx.too_long(self.reads, self.config.max_read_len).select("read_id").first()
         if long is not None:
             raise ValueError(f"read {long['read_id']} is longer than {self.config.max_read_len}")
+        if self.config.paired and "pair_id" in self.reads.columns:
+            alone = fastx.unpaired(self.reads.where(F.col("pair_id").isNotNull())).first()
+            if alone is not None:
+                raise ValueError(f"pair {alone['pair_id']} has {alone['reads']} reads, of {alone['mates']} mates")
         return self
 
     def stats(self) -> dict[int, ScoreStats]:
@@ -54,6 +58,17 @@ class Search:
                 self._stats[t["db"]] = score_stats(freqs, t["total_len"], t["n_refs"], n["total_len"], n["reads"], self.config)
         return self._stats
 
+    def save_stats(self, path: str) -> None:
+        """Writes the statistics as one JSON line for each database, so that a report of another run takes them up."""
+        rows = [(db, *astuple(x)) for db, x in self.stats().items()]
+        names = ["db", *(f.name for f in fields(ScoreStats))]
+        self.reads.sparkSession.createDataFrame(rows, names).coalesce(1).write.mode("overwrite").json(path)
+
+    def load_stats(self, path: str) -> Search:
+        names = [f.name for f in fields(ScoreStats)]
+        self._stats = {r["db"]: ScoreStats(*(r[n] for n in names)) for r in self.reads.sparkSession.read.json(path).collect()}
+        return self
+
     def alignments(self, keep=written) -> DataFrame:
         """The alignments kept of each read, pass after pass: a later pass takes up what is left.
 
@@ -95,8 +110,8 @@ class Search:
         s["per_db"] = [(r["db"], r["first_hits"]) for r in select.per_db(found).orderBy("db").collect()]
         return s
 
-    def write(self, found: DataFrame, folder: str, command: str = "", zipped: bool = False) -> None:
-        """All reports that the options ask for, under ``folder``."""
+    def write(self, found: DataFrame, folder: str, command: str = "", zipped: bool = False, run: dict | None = None) -> None:
+        """All reports that the options ask for, under ``folder``. run: what the log says of the run."""
         c = self.config
         zipped = c.zipped(zipped)
         missed = select.other(self.reads, found)
@@ -129,7 +144,7 @@ class Search:
             reports.save_lines(reports.sam_lines(rows), f"{folder}/sam/rows", zipped)
         if c.otu_map:
             reports.save_lines(reports.otu_lines(select.otu_map(self.marked(found).join(self.reads.select("read_id", "header"), "read_id"))), f"{folder}/otu_map", False)
-        text = reports.summary_text(self.summary(found), c)
+        text = reports.summary_text(self.summary(found), c, {"command": command} | (run or {}))
         log = self.reads.sparkSession.range(1).select(F.lit(text.rstrip("\n")).alias("line"))
         reports.save_lines(log, f"{folder}/log", False)
 

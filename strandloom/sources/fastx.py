@@ -13,19 +13,27 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SNIFF_BYTES = 4096
 READ_COLUMNS = ("file_idx", "read_num", "fmt", "header", "seq", "qual")
 
 
 def sniff(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """(fasta or fastq, whether it is gzipped), from the first bytes of the file."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("head")).first()
-    if row is None or not row["head"]:
+    """(fasta or fastq, whether it is gzipped), from the first SNIFF_BYTES of the (first) file."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.globStatus(at) or []
+    files = [s.getPath() for f in found for s in (system.listStatus(f.getPath()) if f.isDirectory() else [f]) if s.getLen()]
+    if not files:
         raise ValueError(f"{path}: no data")
-    head = bytes(row["head"])
+    stream = system.open(files[0])
+    try:
+        head = bytes(stream.readNBytes(SNIFF_BYTES))
+    finally:
+        stream.close()
     zipped = head[:2] == b"\x1f\x8b"
     if zipped:
         head = zlib.decompressobj(31).decompress(head)
@@ -126,13 +134,3 @@ def references(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
         own = read_sequences(spark, path).select(F.lit(db).alias("db"), F.col("read_num").alias("ref_num"), display_id(F.col("header")).alias("ref_id"), "header", "seq", F.length("seq").alias("len"))
         out = own if out is None else out.unionByName(own)
     return out
-
-
-def gzip_members(data: bytes) -> pa.Buffer:
-    """The plain bytes of gzip data of any number of members."""
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return pa.py_buffer(b"".join(out))

@@ -172,10 +172,14 @@ def otu_lines(groups: DataFrame) -> DataFrame:
     return groups.orderBy("ref_id").select(F.concat_ws("\t", F.col("ref_id"), F.concat_ws("\t", "read_ids")).alias("line"))
 
 
-def summary_text(s: dict, config: SearchConfig) -> str:
-    """The run log from a summary row."""
+def summary_text(s: dict, config: SearchConfig, run: dict | None = None) -> str:
+    """The run log from a summary row. run: command, references, reads (files) and seconds, as far as known."""
     share = lambda n: 100.0 * n / s["reads"] if s["reads"] else 0.0
-    lines = [
+    run = run or {}
+    lines = [f"Command: {run['command']}"] if run.get("command") else []
+    if "references" in run:
+        lines += ["Reference files:", *(f"    {x}" for x in run["references"]), "Reads files:", *(f"    {x}" for x in run["reads"])]
+    lines += [
         "Parameters summary:",
         f"    Number of alignments = {config.num_alignments} ({'best' if config.best else 'first'})",
         f"    Seed length = {config.seed}, passes = {','.join(map(str, config.steps))}",
@@ -190,4 +194,6 @@ def summary_text(s: dict, config: SearchConfig) -> str:
         lines += [f"    Total reads for de novo clustering = {s['denovo']}", f"    Total reads passing %id and %coverage thresholds = {s['id_cov']}", f"    Total OTUs = {s['otus']}"]
     lines += [f"    Minimum read length = {s['min_len']}", f"    Maximum read length = {s['max_len']}", f"    Mean read length = {s['mean_len']}"]
     lines += ["Coverage by database:"] + [f"    {name}\t\t{share(n):.2f}" for name, n in s["per_db"]]
+    if "seconds" in run:
+        lines.append(f"Finished at {run['finished']}, after {run['seconds']:.1f} seconds")
     return "\n".join(lines) + "\n"

@@ -20,7 +20,8 @@ def test_align_then_report_from_what_is_stored(spark, tmp_path):
     found = cli.run([*args, "-index", "0", "-task", "3"], spark)
     assert sorted(x.read_id for x in found.collect()) == [f"0_{k}" for k in range(5)]
     log = "".join(p.read_text() for p in (tmp_path / "w/out/log").glob("part-*"))
-    assert "Total reads = 6" in log
+    assert "Total reads = 6" in log and "Command: -ref" in log and f"    {r}" in log and "seconds" in log
+    assert len(list((tmp_path / "w/kvdb-stats").glob("part-*"))) == 1
     cli.run([*args, "-index", "0", "-task", "2"], spark)
     assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "w/out/blast").rglob("part-*")) == 5
     with pytest.raises(Exception, match="(?i)exists"):

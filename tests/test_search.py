@@ -143,3 +143,11 @@ def test_reports_are_written(small, spark, tmp_path):
 
 def test_letters():
     assert encoded("acgtuNx").tolist() == [0, 1, 2, 3, 3, 4, 4]
+
+
+def test_pairs_without_a_mate_are_refused(spark):
+    reads = spark.createDataFrame([("0_0", 0, 0, "ACGT" * 10), ("1_0", 0, 1, "ACGT" * 10), ("0_1", 1, 0, "ACGT" * 10)], "read_id string, pair_id long, mate int, seq string")
+    refs = spark.createDataFrame([(0, 0, "r", ">r", "ACGTTGCA" * 10)], "db int, ref_num long, ref_id string, header string, seq string")
+    with pytest.raises(ValueError, match="pair 1 has 1 reads"):
+        Search(reads, refs, SearchConfig(paired=True, gumbel=(0.6, 0.33))).checked()
+    assert Search(reads.where("pair_id = 0"), refs, SearchConfig(paired=True, gumbel=(0.6, 0.33))).checked()
