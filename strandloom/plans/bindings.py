@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.config import SearchConfig
 from strandloom.functions import encode, stats
-from strandloom.operators import candidates, index, routing, seeds, select
+from strandloom.operators import align, candidates, index, routing, seeds, select
 from strandloom.plans.search import Search
 from strandloom.sources import fastx, reports
 
@@ -346,6 +347,71 @@ def q_summary_log(spark, d):
     return total.crossJoin(hit).select("reads", "aligned", (F.col("reads") - F.col("aligned")).alias("failed"), F.round(F.col("aligned") * 100.0 / F.col("reads"), 2).alias("pass_pct"), "min_len", "max_len", "mean_len")
 
 
+def _stranded(r: DataFrame) -> DataFrame:
+    return seeds.strands(r, CONFIG).withColumn("read_len", F.length("seq"))
+
+
+def _sized(spark: SparkSession, d: str, keep_seq: bool = False) -> DataFrame:
+    """Seed places of candidates with the lengths (and letters) of their read's strand and reference."""
+    r, s, places = _places(spark, d)
+    own = places.join(candidates.candidate_refs(places, CONFIG).select("read_id", "strand", "ref_num"), ["read_id", "strand", "ref_num"])
+    if keep_seq:
+        own = own.groupBy("read_id", "strand", "ref_num").agg(F.min(F.struct("pos", "win")).alias("x")).select("read_id", "strand", "ref_num", "x.*")
+    letters = ["seq"] if keep_seq else []
+    own = own.join(_stranded(r).select("read_id", "strand", "read_len", *letters), ["read_id", "strand"])
+    return own.join(s.select("ref_num", F.length("seq").alias("ref_len"), *([F.col("seq").alias("ref_seq")] if keep_seq else [])), "ref_num")
+
+
+def q_lis_length(spark, d):
+    """The longest rising chain of each candidate's hits."""
+    own = _sized(spark, d).groupBy("read_id", "strand", "ref_num").agg(F.sort_array(F.collect_list(F.struct("pos", "win"))).alias("hits"))
+
+    def run(batches):
+        for b in batches:
+            size = [len(align.chain([(h["pos"], h["win"]) for h in hits])) for hits in b.column("hits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("read_id", "strand", "ref_num")), pa.array(size, pa.int32())], ["read_id", "strand", "ref_num", "lis"])
+
+    return own.mapInArrow(run, "read_id long, strand boolean, ref_num long, lis int")
+
+
+_REGION = ("ref_start", "ref_letters", "read_start", "read_letters")
+
+
+def q_region_geometry(spark, d):
+    """The stretches to align for a chain that begins at each place."""
+
+    def run(batches):
+        for b in batches:
+            rows = [align.region(*x, int(CONFIG.edges)) for x in zip(*(b.column(c).to_pylist() for c in ("pos", "win", "ref_len", "read_len")), strict=True)]
+            cols = zip(*rows, strict=True) if rows else ([],) * 4
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("read_id", "strand", "ref_num", "pos", "win")), *(pa.array(c, pa.int32()) for c in cols)], ["read_id", "strand", "ref_num", "pos", "win", *_REGION])
+
+    return _sized(spark, d).select("read_id", "strand", "ref_num", F.col("pos").cast("int"), F.col("win").cast("int"), "ref_len", "read_len").mapInArrow(run, "read_id long, strand boolean, ref_num long, pos int, win int, ref_start int, ref_letters int, read_start int, read_letters int")
+
+
+def q_sw_score(spark, d):
+    """The local alignment of each candidate's read and reference around its first place: score, ends and beginnings, and the score of its path."""
+    names = ["score", "ref_begin", "ref_end", "read_begin", "read_end", "path_score"]
+
+    def run(batches):
+        scorer = align.Scorer(CONFIG)
+        for b in batches:
+            asked, at = [], []
+            for pos, win, ref, read in zip(*(b.column(c).to_pylist() for c in ("pos", "win", "ref_seq", "seq")), strict=True):
+                rs, size, qs, letters = align.region(pos, win, len(ref), len(read), int(CONFIG.edges))
+                asked.append((align.encoded(ref[rs : rs + size]), align.encoded(read[qs : qs + letters]), 0))
+                at.append((rs, qs))
+            out = []
+            for (ref, read, _), (rs, qs), (score, rb, re_, qb, qe, path) in zip(asked, at, scorer.align_many(asked), strict=True):
+                same, other, _ = align.counts(ref, read, rb, qb, path)
+                gaps = sum(CONFIG.gap_open + (n - 1) * CONFIG.gap_ext for op, n in path if op != "M")
+                out.append((score, rb + rs, re_ + rs, qb + qs, qe + qs, same * CONFIG.match + other * CONFIG.mismatch - gaps))
+            cols = zip(*out, strict=True) if out else ([],) * 6
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("read_id", "strand", "ref_num")), *(pa.array(c, pa.int32()) for c in cols)], ["read_id", "strand", "ref_num", *names])
+
+    return _sized(spark, d, True).mapInArrow(run, "read_id long, strand boolean, ref_num long, " + ", ".join(f"{n} int" for n in names))
+
+
 def whole_search(spark: SparkSession, d: str) -> tuple[Search, DataFrame]:
     r = reads(spark, d).withColumn("read_id", F.col("read_id").cast("string"))
     search = Search(r, refs(spark, d), CONFIG).checked()
@@ -399,6 +465,25 @@ def _capped(n: int) -> str:
 
 _PLACES = f"{_HITS}, {_capped(10000)}, places AS (SELECT h.read_id, h.strand, h.win, c.ref_num, c.pos FROM hits h JOIN capped c ON c.code = h.code)"
 _CANDIDATES = f"{_PLACES}, cands AS (SELECT read_id, strand, ref_num, count(*) AS hits FROM places GROUP BY ALL HAVING count(*) >= 2)"
+_SIZED = f"""{_PLACES}, sized AS (SELECT p.*, length(s.seq) AS read_len, length(r.seq) AS ref_len FROM places p JOIN stranded s ON s.read_id = p.read_id AND s.strand = p.strand JOIN refs r ON r.ref_num = p.ref_num
+WHERE (p.read_id, p.strand, p.ref_num) IN (SELECT (read_id, strand, ref_num) FROM places GROUP BY read_id, strand, ref_num HAVING count(*) >= 2))"""
+# case by case: the read hangs over the reference's start, or lies from it on; over its end, or not
+_REGIONS = f"""{_SIZED}, headed AS (SELECT *, CASE WHEN pos < win THEN 0 WHEN pos - win > 3 THEN 4 ELSE 0 END AS head FROM sized),
+regions AS (SELECT read_id, strand, ref_num, pos, win, CASE WHEN pos < win THEN 0 ELSE pos - win - head END AS ref_start, CASE WHEN pos < win THEN win - pos ELSE 0 END AS read_start,
+CASE WHEN pos < win AND ref_len < read_len THEN least(ref_len, read_len - (win - pos)) WHEN pos < win THEN read_len + least(4, ref_len - read_len) - (win - pos)
+WHEN pos - win + read_len > ref_len THEN ref_len - (pos - win) - head ELSE read_len + head + least(4, ref_len - (pos - win) - read_len) END AS ref_letters,
+CASE WHEN pos < win AND ref_len < read_len THEN least(ref_len, read_len - (win - pos)) WHEN pos < win THEN read_len - (win - pos)
+WHEN pos - win + read_len > ref_len THEN ref_len - (pos - win) - 2 * head ELSE read_len END AS read_letters FROM headed)"""
+
+
+def _columns_sql(name: str, pieces: str) -> str:
+    """Affine local scores of pieces (pid, a, b), a letter of ``a`` at a time, and the first best end."""
+    return f"""{name}(pid, k, j, h, d) AS (SELECT pid, 0, j, 0, -1000000 FROM (SELECT pid, unnest(range(1, length(b) + 1)) AS j FROM {pieces}) UNION ALL
+SELECT pid, k, j, greatest(c, coalesce(max(c + 2 * j) OVER (PARTITION BY pid ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5 - 2 * (j - 1), 0)), d
+FROM (SELECT w.pid, w.k + 1 AS k, w.j, greatest(w.d - 2, w.h - 5) AS d, greatest(coalesce(lag(w.h) OVER (PARTITION BY w.pid ORDER BY w.j), 0) + CASE WHEN substr(p.a, w.k + 1, 1) = substr(p.b, w.j, 1) THEN 2 ELSE -3 END, w.d - 2, w.h - 5, 0) AS c FROM {name} w JOIN {pieces} p ON p.pid = w.pid WHERE w.k < length(p.a))),
+{name}_best AS (SELECT pid, h AS score, k, j FROM {name} QUALIFY row_number() OVER (PARTITION BY pid ORDER BY h DESC, k, j) = 1)"""
+
+
 _TOY = f"""{_PLACES}, toy AS (
 SELECT CAST(p.ref_num % 2 AS INTEGER) AS db, p.read_id, p.strand, p.ref_num, CAST(count(*) * 36 AS INTEGER) AS score, min(pos) AS ref_begin, min(win) AS read_begin, max(win) - min(win) + 18 AS span, any_value(length(r.seq)) AS read_len,
 CAST(max(win) - min(win) + 18 - p.ref_num % 5 AS INTEGER) AS matches, CAST(p.ref_num % 3 AS INTEGER) AS mismatches, CAST(p.ref_num % 2 AS INTEGER) AS gaps, p.ref_num * 2 + CASE WHEN p.strand THEN 0 ELSE 1 END AS discovery_ord
@@ -451,6 +536,15 @@ SELECT ref_num, CASE WHEN skip THEN NULL ELSE part END AS part FROM fold""",
     "candidate_rank": f"WITH {_CANDIDATES} SELECT read_id, strand, ref_num, hits, CAST(row_number() OVER (PARTITION BY read_id, strand ORDER BY hits DESC, ref_num) AS INTEGER) AS rank FROM cands",
     "candidate_budget": f"WITH {_CANDIDATES}, l AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY read_id, strand ORDER BY hits DESC) AS INTEGER) AS level FROM cands) SELECT read_id, strand, ref_num, level FROM l WHERE level <= 2",
     "window_chain_frame": f"WITH {_PLACES}, i AS (SELECT p.*, length(r.seq) AS n, row_number() OVER () AS k FROM places p JOIN reads r ON r.read_id = p.read_id) SELECT a.read_id, a.strand, a.ref_num, a.pos, a.win, CAST(count(*) AS INTEGER) AS in_frame FROM i a JOIN i b ON a.read_id = b.read_id AND a.strand = b.strand AND a.ref_num = b.ref_num AND b.pos BETWEEN a.pos AND a.pos + a.n - a.win - 17 GROUP BY a.k, a.read_id, a.strand, a.ref_num, a.pos, a.win",
+    "lis_length": f"""WITH RECURSIVE {_SIZED}, h AS (SELECT read_id, strand, ref_num, win, row_number() OVER (PARTITION BY read_id, strand, ref_num ORDER BY pos, win) AS k FROM sized),
+up AS (SELECT read_id, strand, ref_num, win, k, 1 AS n FROM h UNION SELECT h.read_id, h.strand, h.ref_num, h.win, h.k, up.n + 1 FROM up JOIN h ON h.read_id = up.read_id AND h.strand = up.strand AND h.ref_num = up.ref_num AND h.k > up.k AND h.win > up.win)
+SELECT read_id, strand, ref_num, CAST(max(n) AS INTEGER) AS lis FROM up GROUP BY ALL""",
+    "region_geometry": f"WITH {_REGIONS} SELECT read_id, strand, ref_num, CAST(pos AS INTEGER) AS pos, win, CAST(ref_start AS INTEGER) AS ref_start, CAST(ref_letters AS INTEGER) AS ref_letters, CAST(read_start AS INTEGER) AS read_start, CAST(read_letters AS INTEGER) AS read_letters FROM regions",
+    "sw_score": f"""WITH RECURSIVE {_REGIONS}, firsts AS (SELECT * FROM regions QUALIFY row_number() OVER (PARTITION BY read_id, strand, ref_num ORDER BY pos, win) = 1),
+pieces AS (SELECT row_number() OVER (ORDER BY f.read_id, f.strand, f.ref_num) AS pid, f.*, substr(r.seq, ref_start + 1, ref_letters) AS a, substr(s.seq, read_start + 1, read_letters) AS b FROM firsts f JOIN refs r ON r.ref_num = f.ref_num JOIN stranded s ON s.read_id = f.read_id AND s.strand = f.strand),
+{_columns_sql("fore", "pieces")}, turned AS (SELECT pid, reverse(substr(a, 1, k)) AS a, reverse(substr(b, 1, j)) AS b FROM fore_best JOIN pieces USING (pid)), {_columns_sql("aft", "turned")}
+SELECT p.read_id, p.strand, p.ref_num, f.score, CAST(ref_start + f.k - b.k AS INTEGER) AS ref_begin, CAST(ref_start + f.k - 1 AS INTEGER) AS ref_end, CAST(read_start + f.j - b.j AS INTEGER) AS read_begin, CAST(read_start + f.j - 1 AS INTEGER) AS read_end, f.score AS path_score
+FROM pieces p JOIN fore_best f USING (pid) JOIN aft_best b USING (pid)""",
     "evalue_bitscore": f"WITH {_TOY} SELECT read_id, strand, ref_num, CAST(floor((score * CAST(0.59 AS DOUBLE) - ln(CAST(0.33 AS DOUBLE))) / ln(CAST(2 AS DOUBLE))) AS INTEGER) AS bitscore, round(log10(CAST(0.33 AS DOUBLE) * 1000000 * 2000000 * exp(score * CAST(-0.59 AS DOUBLE))), 6) AS log_evalue FROM toy",
     "min_score": f"""WITH {_READS}, {_REFS}, n AS (SELECT count(*) AS n_reads, CAST(sum(length(seq)) AS DOUBLE) AS n FROM reads),
 t AS (SELECT count(*) AS n_refs, CAST(sum(length(seq)) AS DOUBLE) AS m FROM refs), f AS (SELECT nt, sum(length(seq) - length(replace(seq, nt, ''))) / sum(length(seq)) AS p FROM refs, (VALUES ('A'), ('C'), ('G'), ('T')) v(nt) GROUP BY nt),

@@ -76,7 +76,8 @@ class Search:
         pass's plan starts from tables.
         """
         config, least = self.config, {db: s.minimal_score for db, s in self.stats().items()}
-        left = seeds.spread(self.reads.where(F.length("seq") >= config.seed))
+        # read, spread and letters only once, however many passes there are
+        left = keep(seeds.spread(self.reads.select("read_id", "seq").where(F.length("seq") >= config.seed)), "reads")
         earlier, out = None, None
         for k in range(len(config.steps)):
             found = seeds.windows(seeds.strands(left, config), config, k)
@@ -89,7 +90,8 @@ class Search:
             mine = align.alignments(places, left, self.refs, candidates.candidate_refs(places, config), config, least)
             mine = keep(mine, f"alignments-{k}")
             out = mine if out is None else out.unionByName(mine)
-            left = left.join(mine.select("read_id").distinct(), "read_id", "left_anti")
+            if k < len(config.steps) - 1:
+                left = keep(left.join(mine.select("read_id").distinct(), "read_id", "left_anti"), "reads")
             earlier = hits
         return select.kept(out, config)
 
