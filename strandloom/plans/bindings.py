@@ -1,9 +1,10 @@
 """The search operators over the driver's tables, each with the same result in SQL.
 
 Reads are documents, references are benchmark items, mates are turns of conversations;
-their letters stand for bases (see ``text_sequence``). Queries about alignments take
-rows made from candidate counts, so that SQL can make them too; ``alignments`` and the
-reports after it run the whole search over all documents, each a whole read.
+their letters stand for bases (see ``text_sequence``). Queries about alignments take the
+local alignment of each candidate around its first place, which SQL makes, too, by sweeps
+over its letters; ``alignments`` and the reports after it run the whole search, with
+chains, budgets, least scores and passes, over all documents, each a whole read.
 """
 
 from __future__ import annotations
@@ -61,25 +62,49 @@ def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return r, s, seeds.placed(seeds.hits(_windows(r), ix, CONFIG, _small(ix)), ix)
 
 
-def toy_alignments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(reads, references, alignments) with numbers that follow from seed hits alone."""
-    r, s, places = _places(spark, sf_dir)
-    grouped = places.groupBy("db", "read_id", "strand", "ref_num").agg(F.count(F.lit(1)).alias("n"), F.min("win").alias("low"), F.max("win").alias("high"), F.min("pos").alias("at"))
-    rows = grouped.where(F.col("n") >= CONFIG.num_seeds).join(r.select("read_id", F.length("seq").alias("read_len")), "read_id")
-    span = F.col("high") - F.col("low") + 18
-    out = rows.select(
-        (F.col("ref_num") % 2).cast("int").alias("db"), "read_id", "strand", "ref_num", (F.col("n") * 36).cast("int").alias("score"), F.col("at").alias("ref_begin"), (F.col("at") + span - 1).alias("ref_end"), F.col("low").alias("read_begin"), (F.col("low") + span - 1).alias("read_end"), "read_len",
-        F.concat(span.cast("string"), F.lit("M")).alias("cigar"), (span - F.col("ref_num") % 5).cast("int").alias("matches"), (F.col("ref_num") % 3).cast("int").alias("mismatches"), (F.col("ref_num") % 2).cast("int").alias("gaps"), (F.col("ref_num") * 2 + (~F.col("strand")).cast("int")).alias("discovery_ord"),
-    )
-    return r, s, out
+def first_alignments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reads, references, alignments): each candidate's local alignment around its first place; two databases by parity."""
+    r, s, _ = own = _search(spark, sf_dir)
+    found = _sized(own, True).mapInArrow(_aligner(("read_id", "strand", "ref_num")), f"read_id long, strand boolean, ref_num long, {_ALIGNED}")
+    db = (F.col("ref_num") % 2).cast("int").alias("db")
+    order = (F.col("ref_num") * 2 + (~F.col("strand")).cast("int")).alias("discovery_ord")
+    return r, s, found.select(db, "*", order)
 
 
-TOY_CONFIG = CONFIG.with_(min_id=0.96, min_cov=0.05)
+_ALIGNED = "read_len int, score int, ref_begin int, ref_end int, read_begin int, read_end int, cigar string, matches int, mismatches int, gaps int"
+
+
+def _aligner(keys: tuple[str, ...]):
+    """Local alignments of rows of ``keys``, pos, win, seq and ref_seq, in batches."""
+    names = [*keys, *_ALIGNED.replace(",", "").split()[::2]]
+
+    def run(batches):
+        scorer = align.Scorer(CONFIG)
+        for b in batches:
+            asked, at = [], []
+            for pos, win, ref, read in zip(*(b.column(c).to_pylist() for c in ("pos", "win", "ref_seq", "seq")), strict=True):
+                rs, size, qs, letters = align.region(pos, win, len(ref), len(read), int(CONFIG.edges))
+                asked.append((align.encoded(ref[rs : rs + size]), align.encoded(read[qs : qs + letters]), 0))
+                at.append((rs, qs, len(read)))
+            out, keep = [], []
+            for k, ((ref, read, _), (rs, qs, n), got) in enumerate(zip(asked, at, scorer.align_many(asked), strict=True)):
+                if got:
+                    score, rb, re_, qb, qe, path = got
+                    keep.append(k)
+                    out.append((n, score, rb + rs, re_ + rs, qb + qs, qe + qs, "".join(f"{x}{op}" for op, x in path), *align.counts(ref, read, rb, qb, path)))
+            kinds = [pa.int32()] * 6 + [pa.string()] + [pa.int32()] * 3
+            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 10, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(keep, pa.int64())) for c in keys), *cols], names)
+
+    return run
+
+
+CLASS_CONFIG = CONFIG.with_(min_id=0.96, min_cov=0.05)
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, s, a = toy_alignments(spark, sf_dir)
-    return select.classed(select.with_ratios(a), TOY_CONFIG).join(s.select("ref_num", "ref_id"), "ref_num")
+    _, s, a = first_alignments(spark, sf_dir)
+    return select.classed(select.with_ratios(a), CLASS_CONFIG).join(s.select("ref_num", "ref_id"), "ref_num")
 
 
 def q_read_stats(spark, d):
@@ -220,7 +245,7 @@ def q_window_chain_frame(spark, d):
 
 
 def q_evalue_bitscore(spark, d):
-    _, _, a = toy_alignments(spark, d)
+    _, _, a = first_alignments(spark, d)
     e = stats.e_value(F.col("score"), LAMBDA, K, 1_000_000, 2_000_000)
     return a.select("read_id", "strand", "ref_num", stats.bit_score(F.col("score"), LAMBDA, K).alias("bitscore"), F.round(F.log10(e), 6).alias("log_evalue"))
 
@@ -239,11 +264,11 @@ def q_min_score(spark, d):
 
 
 def q_best_n(spark, d):
-    return select.best_n(toy_alignments(spark, d)[2], 3).select("read_id", "strand", "ref_num", "score")
+    return select.best_n(first_alignments(spark, d)[2], 3).select("read_id", "strand", "ref_num", "score")
 
 
 def q_first_n(spark, d):
-    return select.first_n(toy_alignments(spark, d)[2], 3).select("read_id", "strand", "ref_num", "score")
+    return select.first_n(first_alignments(spark, d)[2], 3).select("read_id", "strand", "ref_num", "score")
 
 
 def q_id_cov_class(spark, d):
@@ -267,21 +292,21 @@ def q_otu_total(spark, d):
 
 
 def q_per_db_matched(spark, d):
-    return select.per_db(toy_alignments(spark, d)[2])
+    return select.per_db(first_alignments(spark, d)[2])
 
 
 def q_aligned_reads(spark, d):
-    r, _, a = toy_alignments(spark, d)
+    r, _, a = first_alignments(spark, d)
     return select.aligned(r, a).select("read_id")
 
 
 def q_other_reads(spark, d):
-    r, _, a = toy_alignments(spark, d)
+    r, _, a = first_alignments(spark, d)
     return select.other(r, a).select("read_id")
 
 
 def q_result_lookup(spark, d):
-    r, _, a = toy_alignments(spark, d)
+    r, _, a = first_alignments(spark, d)
     stored = a.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
     return r.select("read_id").join(stored, "read_id", "left").na.fill(0, ["n", "best"])
 
@@ -316,14 +341,14 @@ def q_mate_join(spark, d):
 
 
 def q_blast_columns(spark, d):
-    r, s, a = toy_alignments(spark, d)
+    r, s, a = first_alignments(spark, d)
     own = stats.ScoreStats(LAMBDA, K, 2.0, 1_000_000, 2_000_000, 0)
     out = reports.blast_columns(a.withColumn("db", F.lit(0)), r, s, own)
     return out.select("qseqid", "sseqid", F.round("pident", 6).alias("pident"), "length", "mismatch", "gaps", "qstart", "qend", "sstart", "send", "bitscore", "cigar", F.round("qcov", 6).alias("qcov"), "qstrand")
 
 
 def q_sam_columns(spark, d):
-    r, s, a = toy_alignments(spark, d)
+    r, s, a = first_alignments(spark, d)
     return reports.sam_rows(a.withColumn("db", F.lit(0)), r, s).select("read_id", "qname", "flag", "rname", "pos", "cigar", F.md5("seq").alias("seq_md5"), "qual", F.col("as").alias("score"), "nm")
 
 
@@ -332,7 +357,7 @@ def q_sam_header(spark, d):
 
 
 def q_null_alignments(spark, d):
-    r, _, a = toy_alignments(spark, d)
+    r, _, a = first_alignments(spark, d)
     return reports.null_rows(select.other(r, a), ("cigar", "qcov")).select("read_id", "line")
 
 
@@ -341,7 +366,7 @@ def q_fastx_lines(spark, d):
 
 
 def q_summary_log(spark, d):
-    r, _, a = toy_alignments(spark, d)
+    r, _, a = first_alignments(spark, d)
     total = fastx.read_stats(r)
     hit = a.agg(F.countDistinct("read_id").alias("aligned"))
     return total.crossJoin(hit).select("reads", "aligned", (F.col("reads") - F.col("aligned")).alias("failed"), F.round(F.col("aligned") * 100.0 / F.col("reads"), 2).alias("pass_pct"), "min_len", "max_len", "mean_len")
@@ -351,20 +376,20 @@ def _stranded(r: DataFrame) -> DataFrame:
     return seeds.strands(r, CONFIG).withColumn("read_len", F.length("seq"))
 
 
-def _sized(spark: SparkSession, d: str, keep_seq: bool = False) -> DataFrame:
-    """Seed places of candidates with the lengths (and letters) of their read's strand and reference."""
-    r, s, places = _places(spark, d)
-    own = places.join(candidates.candidate_refs(places, CONFIG).select("read_id", "strand", "ref_num"), ["read_id", "strand", "ref_num"])
-    if keep_seq:
-        own = own.groupBy("read_id", "strand", "ref_num").agg(F.min(F.struct("pos", "win")).alias("x")).select("read_id", "strand", "ref_num", "x.*")
-    letters = ["seq"] if keep_seq else []
-    own = own.join(_stranded(r).select("read_id", "strand", "read_len", *letters), ["read_id", "strand"])
-    return own.join(s.select("ref_num", F.length("seq").alias("ref_len"), *([F.col("seq").alias("ref_seq")] if keep_seq else [])), "ref_num")
+def _sized(own: tuple[DataFrame, DataFrame, index.SeedIndex], first: bool = False) -> DataFrame:
+    """Seed places of candidates with the lengths of their read's strand and reference; first: one for each, with the letters."""
+    r, s, ix = own
+    places = seeds.placed(seeds.hits(_windows(r), ix, CONFIG, _small(ix)), ix)
+    rows = places.join(candidates.candidate_refs(places, CONFIG).select("read_id", "strand", "ref_num"), ["read_id", "strand", "ref_num"])
+    if first:
+        rows = rows.groupBy("read_id", "strand", "ref_num").agg(F.min(F.struct("pos", "win")).alias("x")).select("read_id", "strand", "ref_num", "x.*")
+    rows = rows.join(_stranded(r).select("read_id", "strand", "read_len", *(["seq"] if first else [])), ["read_id", "strand"])
+    return rows.join(s.select("ref_num", F.length("seq").alias("ref_len"), *([F.col("seq").alias("ref_seq")] if first else [])), "ref_num")
 
 
 def q_lis_length(spark, d):
     """The longest rising chain of each candidate's hits."""
-    own = _sized(spark, d).groupBy("read_id", "strand", "ref_num").agg(F.sort_array(F.collect_list(F.struct("pos", "win"))).alias("hits"))
+    own = _sized(_search(spark, d)).groupBy("read_id", "strand", "ref_num").agg(F.sort_array(F.collect_list(F.struct("pos", "win"))).alias("hits"))
 
     def run(batches):
         for b in batches:
@@ -386,30 +411,28 @@ def q_region_geometry(spark, d):
             cols = zip(*rows, strict=True) if rows else ([],) * 4
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("read_id", "strand", "ref_num", "pos", "win")), *(pa.array(c, pa.int32()) for c in cols)], ["read_id", "strand", "ref_num", "pos", "win", *_REGION])
 
-    return _sized(spark, d).select("read_id", "strand", "ref_num", F.col("pos").cast("int"), F.col("win").cast("int"), "ref_len", "read_len").mapInArrow(run, "read_id long, strand boolean, ref_num long, pos int, win int, ref_start int, ref_letters int, read_start int, read_letters int")
+    return _sized(_search(spark, d)).select("read_id", "strand", "ref_num", F.col("pos").cast("int"), F.col("win").cast("int"), "ref_len", "read_len").mapInArrow(run, "read_id long, strand boolean, ref_num long, pos int, win int, ref_start int, ref_letters int, read_start int, read_letters int")
 
 
 def q_sw_score(spark, d):
-    """The local alignment of each candidate's read and reference around its first place: score, ends and beginnings, and the score of its path."""
-    names = ["score", "ref_begin", "ref_end", "read_begin", "read_end", "path_score"]
+    """The local alignment of each candidate's read and reference around its first place."""
+    return first_alignments(spark, d)[2].select("read_id", "strand", "ref_num", "score", "ref_begin", "ref_end", "read_begin", "read_end")
+
+
+def q_cigar_text(spark, d):
+    return first_alignments(spark, d)[2].select("read_id", "strand", "ref_num", "cigar", "matches", "mismatches", "gaps")
+
+
+def edited(seq):
+    """A sequence without every 41st letter, with every 29th turned and an A after every 53rd."""
+    each = lambda i: F.when(i % 41 == 0, "").when(i % 29 == 0, F.translate(F.substring(seq, i, F.lit(1)), "ACGT", "CGTA")).when(i % 53 == 0, F.concat(F.substring(seq, i, F.lit(1)), F.lit("A"))).otherwise(F.substring(seq, i, F.lit(1)))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(seq)), each), "")
 
-    def run(batches):
-        scorer = align.Scorer(CONFIG)
-        for b in batches:
-            asked, at = [], []
-            for pos, win, ref, read in zip(*(b.column(c).to_pylist() for c in ("pos", "win", "ref_seq", "seq")), strict=True):
-                rs, size, qs, letters = align.region(pos, win, len(ref), len(read), int(CONFIG.edges))
-                asked.append((align.encoded(ref[rs : rs + size]), align.encoded(read[qs : qs + letters]), 0))
-                at.append((rs, qs))
-            out = []
-            for (ref, read, _), (rs, qs), (score, rb, re_, qb, qe, path) in zip(asked, at, scorer.align_many(asked), strict=True):
-                same, other, _ = align.counts(ref, read, rb, qb, path)
-                gaps = sum(CONFIG.gap_open + (n - 1) * CONFIG.gap_ext for op, n in path if op != "M")
-                out.append((score, rb + rs, re_ + rs, qb + qs, qe + qs, same * CONFIG.match + other * CONFIG.mismatch - gaps))
-            cols = zip(*out, strict=True) if out else ([],) * 6
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("read_id", "strand", "ref_num")), *(pa.array(c, pa.int32()) for c in cols)], ["read_id", "strand", "ref_num", *names])
 
-    return _sized(spark, d, True).mapInArrow(run, "read_id long, strand boolean, ref_num long, " + ", ".join(f"{n} int" for n in names))
+def q_sw_edited(spark, d):
+    """Every reference against an edited copy of itself: alignments with insertions and deletions."""
+    pairs = seeds.spread(refs(spark, d).where("length(seq) > 0").withColumnRenamed("ref_num", "read_id")).select("read_id", F.lit(0).alias("pos"), F.lit(0).alias("win"), F.col("seq").alias("ref_seq"), edited(F.col("seq")).alias("seq"))
+    return pairs.mapInArrow(_aligner(("read_id",)), f"read_id long, {_ALIGNED}").select(F.col("read_id").alias("ref_num"), "score", "ref_begin", "ref_end", "read_begin", "read_end", "cigar", "matches", "mismatches", "gaps")
 
 
 def whole_search(spark: SparkSession, d: str) -> tuple[Search, DataFrame]:
@@ -484,11 +507,33 @@ FROM (SELECT w.pid, w.k + 1 AS k, w.j, greatest(w.d - 2, w.h - 5) AS d, greatest
 {name}_best AS (SELECT pid, h AS score, k, j FROM {name} QUALIFY row_number() OVER (PARTITION BY pid ORDER BY h DESC, k, j) = 1)"""
 
 
-_TOY = f"""{_PLACES}, toy AS (
-SELECT CAST(p.ref_num % 2 AS INTEGER) AS db, p.read_id, p.strand, p.ref_num, CAST(count(*) * 36 AS INTEGER) AS score, min(pos) AS ref_begin, min(win) AS read_begin, max(win) - min(win) + 18 AS span, any_value(length(r.seq)) AS read_len,
-CAST(max(win) - min(win) + 18 - p.ref_num % 5 AS INTEGER) AS matches, CAST(p.ref_num % 3 AS INTEGER) AS mismatches, CAST(p.ref_num % 2 AS INTEGER) AS gaps, p.ref_num * 2 + CASE WHEN p.strand THEN 0 ELSE 1 END AS discovery_ord
-FROM places p JOIN reads r ON r.read_id = p.read_id GROUP BY p.read_id, p.strand, p.ref_num HAVING count(*) >= 2)"""
-_RATED = f"""{_TOY}, rated AS (SELECT *, floor(CAST(matches AS DOUBLE) / (matches + mismatches + gaps) * 1000 + 0.5) / 1000 AS identity, floor(CAST(span AS DOUBLE) / read_len * 1000 + 0.5) / 1000 AS coverage FROM toy),
+def _aligned_sql(pieces: str) -> str:
+    """local: pid, score, a0, a1, b0, b1 (first and last letters, from 1) and ops of the alignment of pieces (pid, a, b).
+
+    Ends by one sweep, beginnings by one over the reversed beginnings, then the global path
+    between them, whose steps (M a match, N a mismatch, D, I) are carried along with the
+    scores: a diagonal before gaps, a deletion before an insertion, a longer gap before a new one.
+    """
+    return f"""{_columns_sql("fore", pieces)}, turned AS (SELECT pid, reverse(substr(a, 1, k)) AS a, reverse(substr(b, 1, j)) AS b FROM fore_best JOIN {pieces} USING (pid) WHERE score > 0), {_columns_sql("aft", "turned")},
+ends AS (SELECT f.pid, f.score, f.k - b.k + 1 AS a0, f.k AS a1, f.j - b.j + 1 AS b0, f.j AS b1 FROM fore_best f JOIN aft_best b USING (pid)),
+inner_pieces AS (SELECT pid, substr(a, a0, a1 - a0 + 1) AS a, substr(b, b0, b1 - b0 + 1) AS b FROM ends JOIN {pieces} USING (pid)),
+steps(pid, k, j, h, hp, d, dp) AS (SELECT pid, 0, j, CASE WHEN j = 0 THEN 0 ELSE -5 - 2 * (j - 1) END, repeat('I', j), -1000000, '' FROM (SELECT pid, CAST(unnest(range(0, length(b) + 1)) AS INTEGER) AS j FROM inner_pieces) UNION ALL
+SELECT pid, k, j, CASE WHEN g >= greatest(i, d) THEN g WHEN i > d THEN i ELSE d END, CASE WHEN g >= greatest(i, d) THEN gp WHEN i > d THEN ip || repeat('I', j - 99999 + CAST(ik % 100000 AS INTEGER)) ELSE dp END, d, dp
+FROM (SELECT *, coalesce(CAST(ik // 100000 AS INTEGER) - 10000000 - 5 - 2 * (j - 1), -2000000) AS i
+FROM (SELECT *, max(ck) OVER before_it AS ik, arg_max(cp, ck) OVER before_it AS ip
+FROM (SELECT *, (CAST(greatest(g, d) AS BIGINT) + 2 * j + 10000000) * 100000 + 99999 - j AS ck, CASE WHEN g >= d THEN gp ELSE dp END AS cp
+FROM (SELECT w.pid, w.k + 1 AS k, w.j, greatest(w.d - 2, w.h - 5) AS d, CASE WHEN w.d - 2 >= w.h - 5 THEN w.dp ELSE w.hp END || 'D' AS dp,
+coalesce(lag(w.h) OVER by_pid + CASE WHEN substr(p.a, w.k + 1, 1) = substr(p.b, w.j, 1) THEN 2 ELSE -3 END, -2000000) AS g, lag(w.hp) OVER by_pid || CASE WHEN substr(p.a, w.k + 1, 1) = substr(p.b, w.j, 1) THEN 'M' ELSE 'N' END AS gp
+FROM steps w JOIN inner_pieces p ON p.pid = w.pid WHERE w.k < length(p.a) WINDOW by_pid AS (PARTITION BY w.pid ORDER BY w.j))) WINDOW before_it AS (PARTITION BY pid ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))),
+local AS (SELECT e.*, s.hp AS ops FROM ends e JOIN steps s ON s.pid = e.pid AND s.k = e.a1 - e.a0 + 1 AND s.j = e.b1 - e.b0 + 1)"""
+
+
+_OPS = "array_to_string(list_transform(regexp_extract_all(replace(ops, 'N', 'M'), 'M+|I+|D+'), lambda x: length(x) || x[1]), '') AS cigar, CAST(length(replace(ops, 'M', 'MM')) - length(ops) AS INTEGER) AS matches, CAST(length(replace(ops, 'N', 'NN')) - length(ops) AS INTEGER) AS mismatches, CAST(length(regexp_replace(ops, '[MN]', '', 'g')) AS INTEGER) AS gaps"
+_ALIGNMENTS = f"""{_REGIONS}, firsts AS (SELECT * FROM regions QUALIFY row_number() OVER (PARTITION BY read_id, strand, ref_num ORDER BY pos, win) = 1),
+pieces AS (SELECT row_number() OVER (ORDER BY f.read_id, f.strand, f.ref_num) AS pid, f.*, length(s.seq) AS read_len, substr(r.seq, ref_start + 1, ref_letters) AS a, substr(s.seq, read_start + 1, read_letters) AS b FROM firsts f JOIN refs r ON r.ref_num = f.ref_num JOIN stranded s ON s.read_id = f.read_id AND s.strand = f.strand),
+{_aligned_sql("pieces")},
+found AS (SELECT CAST(ref_num % 2 AS INTEGER) AS db, read_id, strand, ref_num, score, CAST(ref_start + a0 - 1 AS INTEGER) AS ref_begin, CAST(ref_start + a1 - 1 AS INTEGER) AS ref_end, CAST(read_start + b0 - 1 AS INTEGER) AS read_begin, CAST(read_start + b1 - 1 AS INTEGER) AS read_end, read_len, b1 - b0 + 1 AS span, {_OPS}, ref_num * 2 + CASE WHEN strand THEN 0 ELSE 1 END AS discovery_ord FROM local JOIN pieces USING (pid))"""
+_RATED = f"""{_ALIGNMENTS}, rated AS (SELECT *, floor(CAST(matches AS DOUBLE) / (matches + mismatches + gaps) * 1000 + 0.5) / 1000 AS identity, floor(CAST(span AS DOUBLE) / read_len * 1000 + 0.5) / 1000 AS coverage FROM found),
 classed AS (SELECT *, 'item' || ref_num AS ref_id, CASE WHEN identity >= 0.96 AND coverage >= 0.05 THEN 'id_cov' WHEN identity >= 0.96 THEN 'id_only' WHEN coverage >= 0.05 THEN 'cov_only' ELSE 'denovo' END AS class FROM rated)"""
 _MATES = f"mates AS (SELECT (conv_id * 1000 + turn // 2) * 2 + turn % 2 AS read_id, conv_id * 1000 + turn // 2 AS pair_id, CAST(turn % 2 AS INTEGER) AS mate, {_SEQ} AS seq FROM conversations)"
 _ROUTED = f"""{_MATES}, hit AS (SELECT *, contains(seq, 'CATTAC') AS h FROM mates),
@@ -540,27 +585,27 @@ SELECT ref_num, CASE WHEN skip THEN NULL ELSE part END AS part FROM fold""",
 up AS (SELECT read_id, strand, ref_num, win, k, 1 AS n FROM h UNION SELECT h.read_id, h.strand, h.ref_num, h.win, h.k, up.n + 1 FROM up JOIN h ON h.read_id = up.read_id AND h.strand = up.strand AND h.ref_num = up.ref_num AND h.k > up.k AND h.win > up.win)
 SELECT read_id, strand, ref_num, CAST(max(n) AS INTEGER) AS lis FROM up GROUP BY ALL""",
     "region_geometry": f"WITH {_REGIONS} SELECT read_id, strand, ref_num, CAST(pos AS INTEGER) AS pos, win, CAST(ref_start AS INTEGER) AS ref_start, CAST(ref_letters AS INTEGER) AS ref_letters, CAST(read_start AS INTEGER) AS read_start, CAST(read_letters AS INTEGER) AS read_letters FROM regions",
-    "sw_score": f"""WITH RECURSIVE {_REGIONS}, firsts AS (SELECT * FROM regions QUALIFY row_number() OVER (PARTITION BY read_id, strand, ref_num ORDER BY pos, win) = 1),
-pieces AS (SELECT row_number() OVER (ORDER BY f.read_id, f.strand, f.ref_num) AS pid, f.*, substr(r.seq, ref_start + 1, ref_letters) AS a, substr(s.seq, read_start + 1, read_letters) AS b FROM firsts f JOIN refs r ON r.ref_num = f.ref_num JOIN stranded s ON s.read_id = f.read_id AND s.strand = f.strand),
-{_columns_sql("fore", "pieces")}, turned AS (SELECT pid, reverse(substr(a, 1, k)) AS a, reverse(substr(b, 1, j)) AS b FROM fore_best JOIN pieces USING (pid)), {_columns_sql("aft", "turned")}
-SELECT p.read_id, p.strand, p.ref_num, f.score, CAST(ref_start + f.k - b.k AS INTEGER) AS ref_begin, CAST(ref_start + f.k - 1 AS INTEGER) AS ref_end, CAST(read_start + f.j - b.j AS INTEGER) AS read_begin, CAST(read_start + f.j - 1 AS INTEGER) AS read_end, f.score AS path_score
-FROM pieces p JOIN fore_best f USING (pid) JOIN aft_best b USING (pid)""",
-    "evalue_bitscore": f"WITH {_TOY} SELECT read_id, strand, ref_num, CAST(floor((score * CAST(0.59 AS DOUBLE) - ln(CAST(0.33 AS DOUBLE))) / ln(CAST(2 AS DOUBLE))) AS INTEGER) AS bitscore, round(log10(CAST(0.33 AS DOUBLE) * 1000000 * 2000000 * exp(score * CAST(-0.59 AS DOUBLE))), 6) AS log_evalue FROM toy",
+    "sw_score": f"WITH RECURSIVE {_ALIGNMENTS} SELECT read_id, strand, ref_num, score, ref_begin, ref_end, read_begin, read_end FROM found",
+    "cigar_text": f"WITH RECURSIVE {_ALIGNMENTS} SELECT read_id, strand, ref_num, cigar, matches, mismatches, gaps FROM found",
+    "sw_edited": f"""WITH RECURSIVE {_REFS}, pieces AS (SELECT ref_num AS pid, seq AS a, array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN i % 41 = 0 THEN '' WHEN i % 29 = 0 THEN translate(substr(seq, i, 1), 'ACGT', 'CGTA') WHEN i % 53 = 0 THEN substr(seq, i, 1) || 'A' ELSE substr(seq, i, 1) END), '') AS b0 FROM refs WHERE length(seq) > 0),
+cut AS (SELECT pid, substr(a, 1, least(length(a), length(b0) + CASE WHEN length(a) > length(b0) THEN least(4, length(a) - length(b0)) ELSE 0 END)) AS a, substr(b0, 1, least(length(a), length(b0))) AS b FROM pieces),
+{_aligned_sql("cut")} SELECT pid AS ref_num, score, CAST(a0 - 1 AS INTEGER) AS ref_begin, CAST(a1 - 1 AS INTEGER) AS ref_end, CAST(b0 - 1 AS INTEGER) AS read_begin, CAST(b1 - 1 AS INTEGER) AS read_end, {_OPS} FROM local""",
+    "evalue_bitscore": f"WITH RECURSIVE {_ALIGNMENTS} SELECT read_id, strand, ref_num, CAST(floor((score * CAST(0.59 AS DOUBLE) - ln(CAST(0.33 AS DOUBLE))) / ln(CAST(2 AS DOUBLE))) AS INTEGER) AS bitscore, round(log10(CAST(0.33 AS DOUBLE) * 1000000 * 2000000 * exp(score * CAST(-0.59 AS DOUBLE))), 6) AS log_evalue FROM found",
     "min_score": f"""WITH {_READS}, {_REFS}, n AS (SELECT count(*) AS n_reads, CAST(sum(length(seq)) AS DOUBLE) AS n FROM reads),
 t AS (SELECT count(*) AS n_refs, CAST(sum(length(seq)) AS DOUBLE) AS m FROM refs), f AS (SELECT nt, sum(length(seq) - length(replace(seq, nt, ''))) / sum(length(seq)) AS p FROM refs, (VALUES ('A'), ('C'), ('G'), ('T')) v(nt) GROUP BY nt),
 h AS (SELECT -sum(p * log2(p)) AS h FROM f), l AS (SELECT *, floor(ln(0.33 * m * n) / h) AS less FROM n, t, h), c AS (SELECT CASE WHEN m > less * n_refs THEN m - less * n_refs ELSE m END AS m2, greatest(1, n - less * n_reads) AS n2 FROM l)
 SELECT CAST(e AS DOUBLE) AS evalue, CAST(m2 AS BIGINT) AS full_ref, CAST(n2 AS BIGINT) AS full_read, CAST(trunc(ln(CAST(e AS DOUBLE) / (CAST(0.33 AS DOUBLE) * m2 * n2)) / -0.59) AS BIGINT) AS minimal_score FROM c, (VALUES (1.0::DOUBLE), (1e-3::DOUBLE), (1e-7::DOUBLE), (1e-12::DOUBLE), (1e-15::DOUBLE)) v(e)""",
-    "best_n": f"WITH {_TOY}, r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, discovery_ord) AS n FROM toy) SELECT read_id, strand, ref_num, score FROM r WHERE n <= 3",
-    "first_n": f"WITH {_TOY}, r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY discovery_ord) AS n FROM toy) SELECT read_id, strand, ref_num, score FROM r WHERE n <= 3",
-    "id_cov_class": f"WITH {_RATED} SELECT read_id, strand, ref_num, identity, coverage, class FROM classed",
-    "class_counts": f"WITH {_RATED} SELECT count(*) FILTER (WHERE class = 'id_cov') AS n_id_cov, count(*) FILTER (WHERE class = 'id_only') AS n_id_only, count(*) FILTER (WHERE class = 'cov_only') AS n_cov_only, count(*) FILTER (WHERE class = 'denovo') AS n_denovo FROM classed",
-    "denovo_reads": f"WITH {_RATED} SELECT read_id FROM classed GROUP BY read_id HAVING bool_and(class = 'denovo')",
-    "otu_map": f"WITH {_RATED} SELECT ref_id, string_agg(CAST(read_id AS VARCHAR), ',' ORDER BY read_id) AS reads FROM (SELECT DISTINCT ref_id, read_id FROM classed WHERE class = 'id_cov') GROUP BY ref_id",
-    "otu_total": f"WITH {_RATED} SELECT count(DISTINCT ref_id) AS otus FROM classed WHERE class = 'id_cov'",
-    "per_db_matched": f"WITH {_TOY}, e AS (SELECT read_id, arg_min(db, discovery_ord) AS first, arg_max(db, CAST(score AS BIGINT) * 1000000000 - discovery_ord) AS best FROM toy GROUP BY read_id), u AS (SELECT first AS db, 1 AS f, 0 AS b FROM e UNION ALL SELECT best, 0, 1 FROM e) SELECT db, CAST(sum(f) AS BIGINT) AS first_hits, CAST(sum(b) AS BIGINT) AS best_hits FROM u GROUP BY db",
-    "aligned_reads": f"WITH {_TOY} SELECT read_id FROM reads WHERE read_id IN (SELECT read_id FROM toy)",
-    "other_reads": f"WITH {_TOY} SELECT read_id FROM reads WHERE read_id NOT IN (SELECT read_id FROM toy)",
-    "result_lookup": f"WITH {_TOY} SELECT r.read_id, coalesce(t.n, 0) AS n, coalesce(t.best, 0) AS best FROM reads r LEFT JOIN (SELECT read_id, count(*) AS n, max(score) AS best FROM toy GROUP BY read_id) t ON t.read_id = r.read_id",
+    "best_n": f"WITH RECURSIVE {_ALIGNMENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, discovery_ord) AS n FROM found) SELECT read_id, strand, ref_num, score FROM r WHERE n <= 3",
+    "first_n": f"WITH RECURSIVE {_ALIGNMENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY discovery_ord) AS n FROM found) SELECT read_id, strand, ref_num, score FROM r WHERE n <= 3",
+    "id_cov_class": f"WITH RECURSIVE {_RATED} SELECT read_id, strand, ref_num, identity, coverage, class FROM classed",
+    "class_counts": f"WITH RECURSIVE {_RATED} SELECT count(*) FILTER (WHERE class = 'id_cov') AS n_id_cov, count(*) FILTER (WHERE class = 'id_only') AS n_id_only, count(*) FILTER (WHERE class = 'cov_only') AS n_cov_only, count(*) FILTER (WHERE class = 'denovo') AS n_denovo FROM classed",
+    "denovo_reads": f"WITH RECURSIVE {_RATED} SELECT read_id FROM classed GROUP BY read_id HAVING bool_and(class = 'denovo')",
+    "otu_map": f"WITH RECURSIVE {_RATED} SELECT ref_id, string_agg(CAST(read_id AS VARCHAR), ',' ORDER BY read_id) AS reads FROM (SELECT DISTINCT ref_id, read_id FROM classed WHERE class = 'id_cov') GROUP BY ref_id",
+    "otu_total": f"WITH RECURSIVE {_RATED} SELECT count(DISTINCT ref_id) AS otus FROM classed WHERE class = 'id_cov'",
+    "per_db_matched": f"WITH RECURSIVE {_ALIGNMENTS}, e AS (SELECT read_id, arg_min(db, discovery_ord) AS first, arg_max(db, CAST(score AS BIGINT) * 1000000000 - discovery_ord) AS best FROM found GROUP BY read_id), u AS (SELECT first AS db, 1 AS f, 0 AS b FROM e UNION ALL SELECT best, 0, 1 FROM e) SELECT db, CAST(sum(f) AS BIGINT) AS first_hits, CAST(sum(b) AS BIGINT) AS best_hits FROM u GROUP BY db",
+    "aligned_reads": f"WITH RECURSIVE {_ALIGNMENTS} SELECT read_id FROM reads WHERE read_id IN (SELECT read_id FROM found)",
+    "other_reads": f"WITH RECURSIVE {_ALIGNMENTS} SELECT read_id FROM reads WHERE read_id NOT IN (SELECT read_id FROM found)",
+    "result_lookup": f"WITH RECURSIVE {_ALIGNMENTS} SELECT r.read_id, coalesce(t.n, 0) AS n, coalesce(t.best, 0) AS best FROM reads r LEFT JOIN (SELECT read_id, count(*) AS n, max(score) AS best FROM found GROUP BY read_id) t ON t.read_id = r.read_id",
     "pair_default": _routed_sql("h", "'all'"),
     "pair_in": _routed_sql("h0 OR h1", "'all'"),
     "pair_out": _routed_sql("h0 AND h1", "'all'"),
@@ -569,12 +614,12 @@ SELECT CAST(e AS DOUBLE) AS evalue, CAST(m2 AS BIGINT) AS full_ref, CAST(n2 AS B
     "pair_out2_sout": _routed_sql("h", f"{_GROUP} || '_' || side"),
     "unpaired": f"WITH {_MATES} SELECT pair_id, count(DISTINCT mate) AS mates, count(*) AS reads FROM mates GROUP BY pair_id HAVING count(DISTINCT mate) <> 2 OR count(*) <> 2",
     "mate_join": f"WITH {_MATES} SELECT a.pair_id, CAST(length(a.seq) AS INTEGER) AS fwd_len, CAST(length(b.seq) AS INTEGER) AS rev_len FROM mates a JOIN mates b ON a.pair_id = b.pair_id AND a.mate = 0 AND b.mate = 1",
-    "blast_columns": f"WITH {_TOY}, s AS (SELECT *, read_len - read_begin - span AS after FROM toy) SELECT CAST(read_id AS VARCHAR) AS qseqid, 'item' || ref_num AS sseqid, round(CAST(matches AS DOUBLE) / (matches + mismatches + gaps) * 100, 6) AS pident, CAST(span AS INTEGER) AS length, mismatches AS mismatch, gaps, CAST(read_begin + 1 AS INTEGER) AS qstart, CAST(read_begin + span AS INTEGER) AS qend, CAST(ref_begin + 1 AS INTEGER) AS sstart, CAST(ref_begin + span AS INTEGER) AS send, CAST(floor((score * CAST(0.59 AS DOUBLE) - ln(CAST(0.33 AS DOUBLE))) / ln(CAST(2 AS DOUBLE))) AS INTEGER) AS bitscore, CASE WHEN read_begin > 0 THEN read_begin || 'S' ELSE '' END || span || 'M' || CASE WHEN after > 0 THEN after || 'S' ELSE '' END AS cigar, round(CAST(span AS DOUBLE) / read_len * 100, 6) AS qcov, CASE WHEN strand THEN '+' ELSE '-' END AS qstrand FROM s",
-    "sam_columns": f"WITH {_TOY}, s AS (SELECT t.*, read_len - read_begin - span AS after, CASE WHEN t.strand THEN r.seq ELSE translate(reverse(r.seq), 'ACGT', 'TGCA') END AS q FROM toy t JOIN reads r ON r.read_id = t.read_id) SELECT read_id, CAST(read_id AS VARCHAR) AS qname, CASE WHEN strand THEN 0 ELSE 16 END AS flag, 'item' || ref_num AS rname, CAST(ref_begin + 1 AS INTEGER) AS pos, CASE WHEN read_begin > 0 THEN read_begin || 'S' ELSE '' END || span || 'M' || CASE WHEN after > 0 THEN after || 'S' ELSE '' END AS cigar, md5(q) AS seq_md5, '*' AS qual, score, mismatches + gaps AS nm FROM s",
+    "blast_columns": f"WITH RECURSIVE {_ALIGNMENTS}, s AS (SELECT *, read_len - read_begin - span AS after FROM found) SELECT CAST(read_id AS VARCHAR) AS qseqid, 'item' || ref_num AS sseqid, round(CAST(matches AS DOUBLE) / (matches + mismatches + gaps) * 100, 6) AS pident, CAST(span AS INTEGER) AS length, mismatches AS mismatch, gaps, CAST(read_begin + 1 AS INTEGER) AS qstart, CAST(read_begin + span AS INTEGER) AS qend, CAST(ref_begin + 1 AS INTEGER) AS sstart, CAST(ref_end + 1 AS INTEGER) AS send, CAST(floor((score * CAST(0.59 AS DOUBLE) - ln(CAST(0.33 AS DOUBLE))) / ln(CAST(2 AS DOUBLE))) AS INTEGER) AS bitscore, CASE WHEN read_begin > 0 THEN read_begin || 'S' ELSE '' END || cigar || CASE WHEN after > 0 THEN after || 'S' ELSE '' END AS cigar, round(CAST(span AS DOUBLE) / read_len * 100, 6) AS qcov, CASE WHEN strand THEN '+' ELSE '-' END AS qstrand FROM s",
+    "sam_columns": f"WITH RECURSIVE {_ALIGNMENTS}, s AS (SELECT t.*, read_len - read_begin - span AS after, CASE WHEN t.strand THEN r.seq ELSE translate(reverse(r.seq), 'ACGT', 'TGCA') END AS q FROM found t JOIN reads r ON r.read_id = t.read_id) SELECT read_id, CAST(read_id AS VARCHAR) AS qname, CASE WHEN strand THEN 0 ELSE 16 END AS flag, 'item' || ref_num AS rname, CAST(ref_begin + 1 AS INTEGER) AS pos, CASE WHEN read_begin > 0 THEN read_begin || 'S' ELSE '' END || cigar || CASE WHEN after > 0 THEN after || 'S' ELSE '' END AS cigar, md5(q) AS seq_md5, '*' AS qual, score, mismatches + gaps AS nm FROM s",
     "sam_header": f"WITH {_REFS} SELECT CAST(0 AS BIGINT) AS ord, '@HD' || chr(9) || 'VN:1.0' || chr(9) || 'SO:unsorted' AS line UNION ALL SELECT ref_num + 1, '@SQ' || chr(9) || 'SN:item' || ref_num || chr(9) || 'LN:' || length(seq) FROM refs UNION ALL SELECT CAST(4611686018427387904 AS BIGINT), '@PG' || chr(9) || 'ID:strandloom' || chr(9) || 'VN:1.0' || chr(9) || 'CL:search'",
-    "null_alignments": f"WITH {_TOY} SELECT read_id, read_id || chr(9) || '*' || repeat(chr(9) || '0', 10) || chr(9) || '*' || chr(9) || '0' AS line FROM reads WHERE read_id NOT IN (SELECT read_id FROM toy)",
+    "null_alignments": f"WITH RECURSIVE {_ALIGNMENTS} SELECT read_id, read_id || chr(9) || '*' || repeat(chr(9) || '0', 10) || chr(9) || '*' || chr(9) || '0' AS line FROM reads WHERE read_id NOT IN (SELECT read_id FROM found)",
     "fastx_lines": f"WITH {_READS} SELECT read_id, md5('@' || read_id || ' ' || source || chr(10) || seq) AS line_md5 FROM reads",
-    "summary_log": f"WITH {_TOY}, r AS (SELECT count(*) AS reads, CAST(min(length(seq)) AS BIGINT) AS min_len, CAST(max(length(seq)) AS BIGINT) AS max_len, CAST(sum(length(seq)) // count(*) AS BIGINT) AS mean_len FROM reads), a AS (SELECT count(DISTINCT read_id) AS aligned FROM toy) SELECT reads, aligned, reads - aligned AS failed, round(aligned * 100.0::DOUBLE / reads, 2) AS pass_pct, min_len, max_len, mean_len FROM r, a",
+    "summary_log": f"WITH RECURSIVE {_ALIGNMENTS}, r AS (SELECT count(*) AS reads, CAST(min(length(seq)) AS BIGINT) AS min_len, CAST(max(length(seq)) AS BIGINT) AS max_len, CAST(sum(length(seq)) // count(*) AS BIGINT) AS mean_len FROM reads), a AS (SELECT count(DISTINCT read_id) AS aligned FROM found) SELECT reads, aligned, reads - aligned AS failed, round(aligned * 100.0::DOUBLE / reads, 2) AS pass_pct, min_len, max_len, mean_len FROM r, a",
 }
 
 
