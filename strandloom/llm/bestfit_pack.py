@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._bpe import encoder
+from strandloom.llm._bpe import CACHE_PIECES, encoder
 from strandloom.llm._shared import slices, written
 
 OPEN_BINS = 1024
 PIECES_PER_TASK = 200_000
 RUN = 4096
+BATCH_BYTES = 4 << 20
 
 
 class BestFit:
@@ -92,14 +93,18 @@ def runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
         yield joined()
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every whole text, cut at ``capacity`` ids."""
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, cache: int = CACHE_PIECES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every whole text, cut at ``capacity`` ids.
+
+    cache, batch_bytes: the word pieces that a worker remembers and the bytes of text that it
+    encodes at a time; less of both takes less memory and more time.
+    """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary, end_id)
+        own = encoder(vocabulary, end_id, cache)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", batch_bytes):
                 ids, at = own.encode(part.column("text"))
                 sizes = np.diff(at)
                 counts = -(-sizes // capacity)
@@ -143,5 +148,5 @@ def pack(cut: DataFrame, capacity: int, open_bins: int = OPEN_BINS, per_task: in
     return dealt.mapInArrow(fill, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 4096, open_bins: int = OPEN_BINS) -> DataFrame:
-    return pack(pieces(docs, vocabulary, end_id, capacity), capacity, open_bins)
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 4096, open_bins: int = OPEN_BINS, cache: int = CACHE_PIECES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    return pack(pieces(docs, vocabulary, end_id, capacity, cache, batch_bytes), capacity, open_bins)
