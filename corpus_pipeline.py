@@ -37,7 +37,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bestfit_pack.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    # workers that earlier stages have used are large already: less memory here, for a little more time
+    return bestfit_pack.pack_documents(docs, vocabulary("word_bpe_49k.json"), cache=150_000, batch_bytes=1 << 20)
 
 
 STAGES = [("quality", quality), ("dedup", dedup), ("decontam", decontam), ("secrets", secrets), ("packing", packing)]
