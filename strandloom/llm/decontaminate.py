@@ -47,7 +47,7 @@ RARE = 3
 COMMON = 24
 FILTER_LEAST, FILTER_MOST = 22, 27
 #: Keys of texts up to which a join may broadcast them (two longs each).
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 400_000
 _SHORT = {m: np.uint64(0x9E3779B97F4A7C15 * m % (1 << 64)) for m in range(1, NGRAM)}
 _KEY = ["t1", "t2"]
 

@@ -44,7 +44,7 @@ STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 256
 BLOCK_BYTES = 16 << 20
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 400_000
 
 _rng = np.random.default_rng(23)
 _A = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
