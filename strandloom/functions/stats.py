@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import SearchConfig
 
-_SIMULATED = 400
+_SIMULATED = 6000
 _LENGTH = 200
 
 
@@ -44,9 +44,10 @@ def _random_scores(freqs: dict[str, float], config: SearchConfig, n: int, length
     h = np.zeros((n, length + 1), np.int32)
     e = np.full((n, length), -10_000, np.int32)
     best = np.zeros(n, np.int32)
-    slope = np.arange(length) * config.gap_ext
+    slope = np.arange(length, dtype=np.int32) * config.gap_ext
+    match, mismatch = np.int32(config.match), np.int32(config.mismatch)
     for k in range(length):
-        diagonal = h[:, :-1] + np.where(b == a[:, k : k + 1], config.match, config.mismatch)
+        diagonal = h[:, :-1] + np.where(b == a[:, k : k + 1], match, mismatch)
         e = np.maximum(e - config.gap_ext, h[:, 1:] - config.gap_open)
         row = np.maximum(np.maximum(diagonal, e), 0)
         run = np.maximum.accumulate(row + slope, axis=1)[:, :-1] - config.gap_open - slope[:-1]
@@ -56,18 +57,25 @@ def _random_scores(freqs: dict[str, float], config: SearchConfig, n: int, length
     return best
 
 
-def gumbel_parameters(freqs: dict[str, float], config: SearchConfig, seed: int = 182345345) -> tuple[float, float]:
+def gumbel_parameters(freqs: dict[str, float], config: SearchConfig, seed: int = 7) -> tuple[float, float]:
     """(lambda, K) for gapped local alignment: the given pair, or an estimate by simulation.
 
-    lambda comes from the variance of the scores of random pairs and K from their mean.
-    The estimate has sampling error; give ``gumbel`` where exact parity is needed.
+    lambda is the likeliest one for the scores of random pairs and K follows from it and them.
+    The sampling error of lambda is about a hundredth; give ``gumbel`` where exact parity is
+    needed.
     """
     if config.gumbel:
         return config.gumbel
     top = ungapped_lambda(freqs, config.match, config.mismatch)
-    scores = _random_scores(freqs, config, _SIMULATED, _LENGTH, seed)
-    lam = min(top, math.pi / math.sqrt(6 * max(float(scores.var()), 1e-9)))
-    k = math.exp(lam * float(scores.mean()) - 0.5772156649015329) / _LENGTH**2
+    parts = 8
+    scores = np.concatenate([_random_scores(freqs, config, _SIMULATED // parts, _LENGTH, seed + k) for k in range(parts)]).astype(float)
+    mean, low, high = float(scores.mean()), 1e-3, top
+    # the likelihood's slope, mean - weighted mean - 1 / lambda, changes its sign once
+    for _ in range(60):
+        lam = (low + high) / 2
+        weight = np.exp(-lam * (scores - scores.min()))
+        low, high = (lam, high) if mean - float((scores * weight).sum() / weight.sum()) < 1 / lam else (low, lam)
+    k = math.exp(-math.log(float(np.exp(-lam * scores).mean()))) / _LENGTH**2
     return lam, min(max(k, 1e-3), 1.0)
 
 

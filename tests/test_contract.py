@@ -21,6 +21,14 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True).returncode == 0
 
 
+def test_the_rest_and_its_tests_load_without_both_folders(tmp_path):
+    for name in ("strandloom", "tests"):
+        shutil.copytree(ROOT / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    out = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert out.returncode == 0, out.stdout[-500:]
+
+
 def test_nothing_else_imports_the_subpackage():
     for path in (ROOT / "strandloom").rglob("*.py"):
         if "llm" not in path.parts:

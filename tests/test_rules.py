@@ -39,6 +39,8 @@ def test_ungapped_lambda():
 def test_estimated_parameters_are_near_known_ones():
     lam, k = stats.gumbel_parameters({"A": 0.25, "C": 0.25, "G": 0.25, "T": 0.25}, SearchConfig())
     assert 0.5 < lam <= 0.634 and 0.02 < k <= 1
+    again = stats.gumbel_parameters(dict.fromkeys("ACGT", 0.25), SearchConfig(), seed=99)
+    assert abs(again[0] - lam) < 0.04 * lam and abs(again[1] - k) < 0.35 * k
     assert stats.gumbel_parameters({}, SearchConfig(gumbel=(0.6, 0.3))) == (0.6, 0.3)
 
 
