@@ -113,7 +113,8 @@ def q_read_stats(spark, d):
 
 def q_seq_encode(spark, d):
     raw = F.regexp_replace("text", "[^A-Za-z]", "")
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("read_id"), encode.seed_alphabet(raw).alias("seq_seed"), encode.align_alphabet(raw).alias("seq_aln"), encode.index_alphabet(raw).alias("seq_index"))
+    docs = seeds.spread(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("read_id"), "text"))
+    return docs.select("read_id", encode.seed_alphabet(raw).alias("seq_seed"), encode.align_alphabet(raw).alias("seq_aln"), encode.index_alphabet(raw).alias("seq_index"))
 
 
 def q_revcomp(spark, d):
