@@ -40,7 +40,7 @@ _WORD_KIND = (
 #: Pieces with characters from here on are left to the library as they are.
 _LATIN_END = chr(0x250)
 #: Pieces that an encoder remembers, about 200 bytes each.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 800_000
 
 
 def _byte_letters() -> dict[int, str]:

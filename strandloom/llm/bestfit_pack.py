@@ -30,7 +30,7 @@ from strandloom.llm._shared import slices, written
 OPEN_BINS = 1024
 PIECES_PER_TASK = 200_000
 RUN = 4096
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 class BestFit:
