@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from strandloom import tables
 from strandloom.config import SearchConfig
-from strandloom.operators import index, scan, seeds, select
+from strandloom.operators import align, candidates, index, scan, seeds, select
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -53,11 +54,11 @@ def test_pass_in_small_steps_gives_the_same(spark, monkeypatch):
     reads, refs = _tables(spark, 5, "AC")
     c = SearchConfig()
     ix = index.SeedIndex.of(refs, c)
-    tables = scan.tables(ix, c, True, True).value
+    sent = scan.tables(ix, c, True, True).value
     key, pattern = scan.halves(scan.letters_of(scan.pa.array(["AC" * 50]))[0], scan.np.arange(80), 9)
-    whole = [x.tolist() for x in tables[0][0].hits(key, pattern)]
+    whole = [x.tolist() for x in sent[0][0].hits(key, pattern)]
     monkeypatch.setattr(scan, "PAIRS", 1)
-    assert [x.tolist() for x in tables[0][0].hits(key, pattern)] == whole
+    assert [x.tolist() for x in sent[0][0].hits(key, pattern)] == whole
     empty = index.SeedIndex.of(refs.limit(0), c)
     assert seeds.search(reads, empty, c, True).count() == 0
 
@@ -75,3 +76,13 @@ def test_reads_with_rows_alone_go_on(spark, tmp_path, monkeypatch):
     assert _rows(select.among(reads, found)) == [(k,) for k in range(5)]
     monkeypatch.setattr(select, "FEW_READS", 2)
     assert _rows(select.among(reads, found)) == [(k,) for k in range(5)]
+
+
+def test_alignments_are_dealt_to_several_tasks(spark):
+    reads, refs = _tables(spark, 3)
+    c = SearchConfig(gumbel=(0.6, 0.33))
+    reads = reads.where("seq IS NOT NULL").withColumn("read_id", F.col("read_id").cast("string"))
+    ix = index.SeedIndex.of(refs, c)
+    places = tables.written(seeds.placed(seeds.search(reads, ix, c, True, 0), ix), "places")
+    found = align.alignments(places, reads, refs, candidates.candidate_refs(places, c), c, {0: 20, 1: 20})
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
