@@ -86,3 +86,24 @@ def test_alignments_are_dealt_to_several_tasks(spark):
     places = tables.written(seeds.placed(seeds.search(reads, ix, c, True, 0), ix), "places")
     found = align.alignments(places, reads, refs, candidates.candidate_refs(places, c), c, {0: 20, 1: 20})
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
+def test_a_read_stays_together_when_partitions_are_joined_at_run_time(spark):
+    """Both sides of a union join small partitions each in its own way, so a read's rows are dealt out after the union."""
+    reads, refs = _tables(spark, 3)
+    c = SearchConfig(gumbel=(0.6, 0.33))
+    reads = tables.written(reads.where("seq IS NOT NULL").withColumn("read_id", F.col("read_id").cast("string")), "reads")
+    ix = index.SeedIndex.of(refs, c)
+    places = tables.written(seeds.placed(seeds.hits(seeds.windows(seeds.strands(reads, c), c), ix, c, True), ix), "places")
+    found = lambda: _rows(align.alignments(places, reads, F.broadcast(refs), candidates.candidate_refs(places, c), c, {0: 20, 1: 20}))
+    want = found()
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "500b"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        assert found() == want
+        assert len(want) > 5
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
