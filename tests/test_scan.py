@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from strandloom import tables
 from strandloom.config import SearchConfig
+from strandloom.functions import encode
 from strandloom.operators import align, candidates, index, scan, seeds, select
+from strandloom.plans import bindings
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -107,3 +109,48 @@ def test_a_read_stays_together_when_partitions_are_joined_at_run_time(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+ODD = [(0, None), (1, ""), (2, "1 2é\x00[@`{ß"), (3, "Az" * 20 + "K"), (4, "ſtraße ÄB\nc d 😀e"), (5, "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+
+
+def test_letters_of_bare_texts(spark):
+    """From bytes as by ``text_sequence``: no letter beyond A to Z counts, whatever its capital is."""
+    made = {r["k"]: r["seq"] for r in spark.createDataFrame(ODD, "k int, text string").select("k", encode.text_sequence(F.col("text")).alias("seq")).collect()}
+    texts = scan.pa.array([t for _, t in ODD])
+    for own in (texts, texts.slice(3), texts.slice(2, 0)):
+        letters, ends = scan.text_letters(own)
+        want = [made[k] or "" for k, t in ODD if t in own.to_pylist()] if len(own) else []
+        assert ["".join("ACGT"[x] for x in letters[a:b]) for a, b in zip(ends, ends[1:], strict=False)] == want
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_pass_over_bare_texts_gives_the_same_hits(spark, full):
+    reads, refs = _tables(spark, 3)
+    c = SearchConfig(full_search=full)
+    ix = index.SeedIndex.of(refs, c)
+    # b is a C in turn, and e an A; other characters between letters do not count
+    texts = reads.withColumn("seq", F.regexp_replace(F.translate("seq", "ACac", "ebEB"), "G", "g 1é"))
+    made = texts.select("read_id", encode.text_sequence(F.col("seq")).alias("seq"))
+    want = _rows(seeds.search(made, ix, c, False))
+    assert len(want) > 50 and _rows(seeds.search(texts, ix, c, True, coded=scan.text_letters)) == want
+    for back in (False, True):
+        assert _rows(seeds.search_side(texts, ix, c, back, True, scan.text_letters)) == _rows(seeds.search_side(made, ix, c, back, False))
+
+
+def test_seed_pass_takes_letters_from_bytes(spark):
+    """Letters were rewritten one by one in the plan, for most of the pass's time."""
+    for name in ("seed_hits_both_strands", "seed_hits_full", "seeded_reads", "seed_lev1_fwd", "seed_lev1_rev"):
+        text = contract.queries()[name](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in text and "regexp_replace" not in text and "translate" not in text, name
+
+
+def test_only_the_letters_opposite_a_reference_go_on(spark):
+    rows = bindings._sized(spark, TABLES, True)[2]
+    assert rows.where("length(seq) > length(ref_seq)").count() == 0
+    whole = bindings._stranded(bindings.reads(spark, TABLES)).select("read_id", "strand", F.col("seq").alias("own"), F.col("read_len").alias("n"))
+    both = rows.join(whole, ["read_id", "strand"])
+    some = both.where("pos < win AND n > length(ref_seq)").count()
+    assert some and both.where("read_len <> n OR NOT startswith(substring(own, CAST(greatest(0, win - pos) AS INT) + 1, n), seq)").count() == 0
+    # an alignment beyond the reference's end would lack letters
+    assert both.where("length(seq) < least(length(ref_seq), n - greatest(0, win - pos))").count() == 0
