@@ -154,3 +154,12 @@ def test_only_the_letters_opposite_a_reference_go_on(spark):
     assert some and both.where("read_len <> n OR NOT startswith(substring(own, CAST(greatest(0, win - pos) AS INT) + 1, n), seq)").count() == 0
     # an alignment beyond the reference's end would lack letters
     assert both.where("length(seq) < least(length(ref_seq), n - greatest(0, win - pos))").count() == 0
+
+
+def test_lengths_of_texts(spark):
+    """Whole texts were rewritten letter by letter for their lengths."""
+    rows = spark.createDataFrame(ODD, "read_id int, seq string").repartition(2)
+    want = _rows(rows.select("read_id", F.length(encode.text_sequence(F.col("seq"))).alias("n")))
+    assert sorted(map(tuple, scan.lengths(rows).collect())) == want and want[0][1] is None
+    plan = contract.queries()["read_stats"](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "regexp_replace" not in plan
