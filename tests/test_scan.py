@@ -163,3 +163,24 @@ def test_lengths_of_texts(spark):
     assert sorted(map(tuple, scan.lengths(rows).collect())) == want and want[0][1] is None
     plan = contract.queries()["read_stats"](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "regexp_replace" not in plan
+
+
+def test_letters_opposite_a_reference_come_from_bytes(spark):
+    """As cut from the rewritten strands, for copies of an id and places beyond a text's end, too."""
+    texts = spark.createDataFrame([(k, t) for k, t in ODD] + [(3, "bcd " * 9)], "read_id long, seq string")
+    places = [(k, strand, 7 * k, pos, win, n) for k, _ in ODD for strand in (True, False) for pos, win, n in ((0, 0, 9), (3, 1, 40), (1, 8, 5), (0, 30, 20), (0, 90, 20), (2, 2, 0))]
+    rows = spark.createDataFrame(places, "read_id long, strand boolean, ref_num long, pos int, win int, ref_len int")
+    asked = rows.groupBy("read_id").agg(F.collect_list(F.struct("strand", "ref_num", "pos", "win", "ref_len")).alias("places"))
+    made = bindings._stranded(texts.withColumn("seq", encode.text_sequence(F.col("seq"))).where("seq IS NOT NULL"))
+    cut = F.substring(F.col("seq"), F.greatest(F.lit(0), F.col("win") - F.col("pos")) + 1, F.col("ref_len"))
+    want = _rows(rows.join(made, ["read_id", "strand"]).select("read_id", "strand", "ref_num", "pos", "win", "ref_len", "read_len", cut))
+    got = scan.opposite(texts.where("seq IS NOT NULL").join(asked, "read_id"))
+    assert len(want) == 72 and _rows(got) == want
+
+
+def test_reads_of_candidates_are_not_rewritten(spark):
+    """Spark rewrote the letters of candidates' reads and turned them, for most of that pass's time."""
+    for first in (True, False):
+        text = bindings._sized(spark, TABLES, first)[2].select("read_id", "read_len")._jdf.queryExecution().optimizedPlan().toString()
+        reads = [x for x in text.splitlines() if "regexp_replace(text" in x and "doc_id" in x]
+        assert "MapInArrow" in text and not reads and "reverse(" not in text
